@@ -7,31 +7,28 @@ broadcast has a size bounded by (rows in the job / rows one task is asked to hol
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 #: Rows of one key that one task is asked to handle before the key is split.
 HOT_ROWS = 2_000_000
 #: Most slices a single hot key is cut into.
 MAX_SLICES = 512
 
-_STAGED: list[DataFrame] = []
-
 
 def stage(df: DataFrame) -> DataFrame:
-    """Keep a frame that several branches of one plan read (recomputed if executors go)."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _STAGED.append(kept)
-    return kept
-
+    """Write a frame that several branches read to the shared folder and read it back.
 
-def release() -> None:
-    """Unpersist everything staged so far."""
-    while _STAGED:
-        _STAGED.pop().unpersist()
+    The table cuts the lineage (plans stay short, a lost executor costs a file read, not a
+    recomputation), keeps columns prunable and tells the optimizer its real size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,17 +55,20 @@ def salted_join(
     salt_by: Sequence[str],
     how: str = "left",
     target: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join a large side to a per-key table that knows how many large-side rows each key has.
 
     ``right`` has one row per key and a ``weight`` column with that count. Keys above
     ``target`` are salted: their right row is copied once per salt and the left rows are
     spread over the salts by hash. The list of hot keys has at most
-    ``total weight / target`` rows, which is what bounds the broadcast.
+    ``total weight / target`` rows, which is what bounds the broadcast. ``sizes`` may name a
+    cheaper frame than ``right`` that holds the keys and the weight.
     """
     target = target or HOT_ROWS
     fan = F.ceil(F.col(weight) / F.lit(target)).cast("int")
-    hot = right.where(F.col(weight) > target).select(*on, fan.alias("_fan"))
+    known = right if sizes is None else sizes
+    hot = known.where(F.col(weight) > target).select(*on, fan.alias("_fan"))
     spread = F.pmod(F.xxhash64(*salt_by), F.coalesce(F.col("_fan"), F.lit(1)))
     salted = left.join(F.broadcast(hot), list(on), "left").withColumn("_salt", spread.cast("int")).drop("_fan")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(fan, F.lit(1)) - 1)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import ALL_KINDS, KEY, LEDGER, RULE_KINDS, SIGNAL_WEIGHTS
 from ledgerloom.functions.dates import dmy
 from ledgerloom.functions.money import format_inr
-from ledgerloom.operators.scale import previous_row, salted_join
+from ledgerloom.operators.scale import previous_row, salted_join, stage
 from ledgerloom.operators.statistics import deviation
 from ledgerloom.operators.vouchers import LedgerFrames
 
@@ -327,6 +327,7 @@ def round_candidates(frames: LedgerFrames) -> DataFrame:
         F.max("combo_vouchers").alias("combo_vouchers"),
         F.coalesce(F.max("times_seen"), F.lit(0)).alias("times_seen"),
     )
+    repeats = stage(repeats)
     return salted_join(round_ones, repeats, group, weight="combo_vouchers", salt_by=["voucher_id"], how="inner")
 
 

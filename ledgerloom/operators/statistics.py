@@ -129,7 +129,7 @@ def flag(condition: Column) -> Column:
 
 
 def feature_columns() -> list[Column]:
-    """The 18 model inputs over ``context("pairs", "preparer", "amounts")``."""
+    """The 18 model inputs over ``context("amounts", "pairs", "preparer")``."""
     timed = F.col("fidelity") == "date_and_time"
     lag = F.datediff(F.col("posted_at").cast("date"), F.col("voucher_date"))
     rarest = F.coalesce(F.col("rarest.times_seen"), F.lit(1))
@@ -157,4 +157,4 @@ def feature_columns() -> list[Column]:
 
 
 def voucher_features(frames) -> DataFrame:
-    return frames.context("pairs", "preparer", "amounts").select(*KEY, "n_vouchers", *feature_columns())
+    return frames.context("amounts", "pairs", "preparer").select(*KEY, "n_vouchers", *feature_columns())

@@ -177,6 +177,8 @@ class LedgerFrames:
         self.lines = lines
         self.thresholds = thresholds or Thresholds()
         self.overrides = overrides
+        self._facts: dict[tuple[str, ...], DataFrame] = {}
+        self._contexts: dict[tuple[str, ...], DataFrame] = {}
 
     @cached_property
     def vouchers(self) -> DataFrame:
@@ -214,7 +216,7 @@ class LedgerFrames:
     @cached_property
     def stats(self) -> DataFrame:
         """``times`` with the rare-pair ceiling and whether rarity still says anything."""
-        return stage(with_rare_ceiling(self.times, self.pair_counts))
+        return with_rare_ceiling(self.times, self.pair_counts)
 
     @cached_property
     def shape_rarity(self) -> DataFrame:
@@ -232,17 +234,20 @@ class LedgerFrames:
         every = F.array_union("debit_accounts", "credit_accounts")
         touched = self.shapes.withColumn("account_code", F.explode(every))
         per_account = touched.groupBy(LEDGER, "account_code").agg(F.count(F.lit(1)).alias("account_shapes"))
-        owners = self.account_owner.join(per_account, [LEDGER, "account_code"])
+        owners = (self.account_owner.join(per_account, [LEDGER, "account_code"]))
         own = self.preparer_counts.select(LEDGER, "created_by", "account_code", "entries")
         per_preparer = touched.groupBy(LEDGER, "created_by", "account_code").agg(
             F.count(F.lit(1)).alias("preparer_shapes")
         )
         own = own.join(per_preparer, [LEDGER, "created_by", "account_code"])
         mine = salted_join(
-            touched, own, [LEDGER, "created_by", "account_code"], weight="preparer_shapes", salt_by=SHAPE
+            touched, own, [LEDGER, "created_by", "account_code"],
+            weight="preparer_shapes", salt_by=SHAPE, sizes=per_preparer,
         )
         return (
-            salted_join(mine, owners, [LEDGER, "account_code"], weight="account_shapes", salt_by=SHAPE)
+            salted_join(
+                mine, owners, [LEDGER, "account_code"], weight="account_shapes", salt_by=SHAPE, sizes=per_account
+            )
             .withColumn("entries", F.coalesce(F.col("entries"), F.lit(0)))
             .select(*SHAPE, "account_code", "entries", "total", "owner", "owner_share")
         )
@@ -274,6 +279,33 @@ class LedgerFrames:
             F.min(F.when(stranger, facts)).alias("stranger"),
         )
 
+    @cached_property
+    def account_stats(self) -> DataFrame:
+        from ledgerloom.operators.statistics import account_amount_stats
+
+        return stage(account_amount_stats(self.vouchers))
+
+    def shape_facts(self, *needs: str) -> DataFrame:
+        """Per shape: its ledger's statistics and what ``needs`` asks for."""
+        if needs not in self._facts:
+            base = self.stats if "pairs" in needs else self.times
+            facts = salted_join(
+                self.shapes, base, [LEDGER], weight="n_vouchers", salt_by=SHAPE[1:], how="inner", sizes=self.times
+            )
+            if "pairs" in needs:
+                facts = facts.join(self.shape_rarity, SHAPE, "left")
+            if "preparer" in needs:
+                facts = facts.join(self.shape_preparer, SHAPE, "left")
+            if "amounts" in needs:
+                first = F.coalesce(F.try_element_at("debit_accounts", F.lit(1)), F.lit(""))
+                usual = self.account_stats.withColumnRenamed("n", "account_entries")
+                facts = salted_join(
+                    facts.withColumn("primary_account", first), usual, [LEDGER, "primary_account"],
+                    weight="account_entries", salt_by=SHAPE[1:],
+                ).drop("primary_account")
+            self._facts[needs] = stage(facts)
+        return self._facts[needs]
+
     def context(self, *needs: str) -> DataFrame:
         """Vouchers with their ledger's statistics and what ``needs`` asks for.
 
@@ -281,28 +313,20 @@ class LedgerFrames:
         account's usual amount. All of them are functions of the voucher's shape, so they
         are joined on the (few) shapes and reach the vouchers in one salted join.
         """
-        base = self.stats if "pairs" in needs else self.times
-        if not needs:
-            return salted_join(
-                self.vouchers, base, [LEDGER], weight="n_vouchers", salt_by=["voucher_id"], how="inner"
+        if needs not in self._contexts:
+            if needs:
+                facts, on, weight, sizes = self.shape_facts(*needs), SHAPE, "shape_vouchers", self.shapes
+            else:
+                facts, on, weight, sizes = self.times, [LEDGER], "n_vouchers", self.times
+            self._contexts[needs] = salted_join(
+                self.vouchers, facts, on, weight=weight, salt_by=["voucher_id"], how="inner", sizes=sizes
             )
-        facts = salted_join(self.shapes, base, [LEDGER], weight="n_vouchers", salt_by=SHAPE[1:], how="inner")
-        if "pairs" in needs:
-            facts = facts.join(self.shape_rarity, SHAPE, "left")
-        if "preparer" in needs:
-            facts = facts.join(self.shape_preparer, SHAPE, "left")
-        if "amounts" in needs:
-            from ledgerloom.operators.statistics import account_amount_stats
-
-            first = F.coalesce(F.try_element_at("debit_accounts", F.lit(1)), F.lit(""))
-            usual = account_amount_stats(self.vouchers).withColumnRenamed("n", "account_entries")
-            facts = salted_join(
-                facts.withColumn("primary_account", first), usual, [LEDGER, "primary_account"],
-                weight="account_entries", salt_by=SHAPE[1:],
-            ).drop("primary_account")
-        return salted_join(
-            self.vouchers, facts, SHAPE, weight="shape_vouchers", salt_by=["voucher_id"], how="inner"
-        )
+        return self._contexts[needs]
+
+    def keep_context(self, *needs: str) -> DataFrame:
+        """The same, kept for the several branches of a whole review that read it."""
+        self._contexts[needs] = stage(self.context(*needs))
+        return self._contexts[needs]
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ def session(app: str = "ledgerloom", master: str | None = None, shuffles: int |
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
