@@ -197,7 +197,7 @@ def top_features(features: DataFrame, centres: DataFrame) -> DataFrame:
     )
     far = [
         F.struct(
-            (-F.coalesce(F.abs(F.col(f) - F.col("medians")[i]) / F.nullif(F.col("spreads")[i], F.lit(0.0)), F.lit(0.0))).alias("down"),
+            (-F.round(F.coalesce(F.abs(F.col(f) - F.col("medians")[i]) / F.nullif(F.col("spreads")[i], F.lit(0.0)), F.lit(0.0)), 6)).alias("down"),
             F.lit(i).alias("i"),
             F.lit(f).alias("feature"),
             F.lit(FEATURE_WORDS[f]).alias("words"),

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from ledgerloom.functions import dates, money, text
 
 
-def daybook(lines: DataFrame) -> DataFrame:
-    """Lines in the shape of a day-book export, all text."""
+def daybook(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Lines in the shape of a day-book export, all text, with the ``keep`` columns as they are."""
     blank = F.lit("")
     rupees = lambda c: F.when(F.col(c) == 0, blank).otherwise(money.format_inr(F.col(c)))
     or_blank = lambda e: F.coalesce(e, blank)
@@ -26,6 +26,7 @@ def daybook(lines: DataFrame) -> DataFrame:
         or_blank(F.col("document_ref")).alias("Doc Ref"),
         F.col("created_by").alias("Entered By"),
         or_blank(F.col("approved_by")).alias("Approved By"),
+        *(keep or []),
     )
 
 
