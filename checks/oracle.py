@@ -256,7 +256,7 @@ FROM (SELECT *, base + 0.45::DOUBLE * (1 - completeness) * (1 - base) p, 0.45::D
 CTE["que"] = "SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY priority DESC, voucher_id) AS rank FROM fnd"
 CTE["contrib"] = """
 SELECT ledger_id, voucher_id, kind, c, CASE kind WHEN 'amount_outlier' THEN 'y' ELSE 'a' || kind END tie FROM whits JOIN fnd USING (ledger_id, voucher_id)
-UNION ALL SELECT ledger_id, voucher_id, 'evidence_gap', round(uplift, 4), 'z' FROM fnd WHERE uplift > 0"""
+UNION ALL SELECT ledger_id, voucher_id, 'evidence_gap', round(uplift::DECIMAL(20, 10), 4)::DOUBLE, 'z' FROM fnd WHERE uplift > 0"""
 CTE["heads0"] = """
 SELECT ledger_id, voucher_id, kind, c, row_number() OVER (PARTITION BY ledger_id, voucher_id ORDER BY c DESC, kind) nth FROM whits JOIN fnd USING (ledger_id, voucher_id)"""
 CTE["heads"] = "SELECT ledger_id, voucher_id, list(kind ORDER BY nth) concerns FROM heads0 WHERE c >= 0.05 OR nth = 1 GROUP BY 1, 2"
@@ -265,7 +265,7 @@ SELECT ledger_id engagement_id, voucher_id, substr(voucher_id, 2, 9)::BIGINT k,
 FROM fnd WHERE ledger_id = 'EVT'"""
 CTE["trail"] = """
 SELECT engagement_id, voucher_id, k * 2 + turn + 1 sequence, CASE (k + turn) % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' WHEN 2 THEN 'investigate' ELSE 'adjust' END action,
-  'R' || (k % 3) reviewer, CASE WHEN (k + turn) % 4 = 1 THEN 'checked to the invoice' END note, TIMESTAMP '2024-06-01 09:00:00' + to_hours((k * 2 + turn)::BIGINT) decided_at FROM trail0"""
+  'R' || (k % 3) reviewer, CASE WHEN (k + turn) % 4 = 1 THEN 'checked to the invoice' END note, TIMESTAMP '2024-06-01 09:00:00' + to_minutes((k * 2 + turn)::BIGINT) decided_at FROM trail0"""
 CTE["now_at"] = "SELECT * FROM trail QUALIFY row_number() OVER (PARTITION BY engagement_id, voucher_id ORDER BY sequence DESC) = 1"
 CTE["fdec"] = """
 SELECT f.*, d.action, d.reviewer, d.note, d.sequence, d.decided_at, coalesce(d.action, 'not yet reviewed') status
@@ -449,7 +449,7 @@ SELECT ledger_id, primary_account, count(*) sample_size, round({_obs(1)}, 6) one
 GROUP BY 1, 2 HAVING count(*) >= 100)""")
 _kinds = ", ".join(f"('{k}')" for k in C.ALL_KINDS)
 oracle("hits_by_kind", f"""
-SELECT ledger_id, kind, count(DISTINCT voucher_id) vouchers FROM (SELECT DISTINCT ledger_id FROM hits), (VALUES {_kinds}) k(kind) LEFT JOIN hits USING (ledger_id, kind) GROUP BY 1, 2""")
+SELECT ledger_id, kind, count(DISTINCT voucher_id) vouchers FROM (SELECT * FROM (SELECT DISTINCT ledger_id FROM hits), (VALUES {_kinds}) k(kind)) g LEFT JOIN hits USING (ledger_id, kind) GROUP BY 1, 2""")
 oracle("hits_by_voucher", f"SELECT {KEY}, array_to_string(list_sort(list(kind)), '|') kinds FROM hits GROUP BY 1, 2")
 oracle("flagged_vouchers", f"SELECT DISTINCT {KEY} FROM hits")
 oracle("unbalanced_vouchers", f"SELECT {KEY}, sum(debit_paise - credit_paise)::BIGINT gap_paise FROM dented GROUP BY 1, 2 HAVING sum(debit_paise - credit_paise) <> 0")

@@ -63,23 +63,24 @@ def parse_ledger_date(text: Column) -> Column:
     )
 
     shape = r"(?i)^(\d{1,2})[-/. ](\d{1,2}|[a-z]{3,9})[-/., ]+(\d{4}|\d{2})(?:[ t,]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm)?)?$"
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, shape, i)
-
-    named = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.lower(F.substring(part(2), 1, 3)))
-    second = F.coalesce(part(2).try_cast("int"), named.cast("int"))
-    first = part(1).try_cast("int")
-    swapped = (second > 12) & (first <= 12)  # only one reading is a real date
-    day, month = F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second)
-    short = part(3).try_cast("int")
-    year = F.when(F.length(part(3)) == 4, short).when(short <= 75, short + 2000).otherwise(short + 1900)
-    hour12 = F.coalesce(part(4).try_cast("int"), F.lit(0))
-    half = F.lower(part(7))
-    hour = F.when(half == "pm", F.pmod(hour12, F.lit(12)) + 12).when(half == "am", F.pmod(hour12, F.lit(12))).otherwise(hour12)
-    built = F.format_string(
-        "%04d-%02d-%02d %02d:%02d:%02d", year, month, day, hour,
-        F.coalesce(part(5).try_cast("int"), F.lit(0)), F.coalesce(part(6).try_cast("int"), F.lit(0)),
-    ).try_cast("timestamp_ntz")
-
-    return F.when(year_first, iso).when(serial, serial_stamp).when(t.rlike(shape), built)
+    # One regular expression per value; the pieces are then picked from an array.
+    pieces = F.split(F.regexp_replace(t, shape, "$1;$2;$3;$4;$5;$6;$7"), ";")
+
+    def built(p: Column) -> Column:
+        number_at = lambda i: F.get(p, F.lit(i)).try_cast("int")
+        named = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.lower(F.substring(F.get(p, F.lit(1)), 1, 3)))
+        first, second = number_at(0), F.coalesce(number_at(1), named.cast("int"))
+        swapped = (second > 12) & (first <= 12)  # only one reading is a real date
+        day, month = F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second)
+        short = number_at(2)
+        year = F.when(F.length(F.get(p, F.lit(2))) == 4, short).when(short <= 75, short + 2000).otherwise(short + 1900)
+        hour12, half = F.coalesce(number_at(3), F.lit(0)), F.lower(F.get(p, F.lit(6)))
+        twelve = F.pmod(hour12, F.lit(12))
+        hour = F.when(half == "pm", twelve + 12).when(half == "am", twelve).otherwise(hour12)
+        return F.format_string(
+            "%04d-%02d-%02d %02d:%02d:%02d", year, month, day, hour,
+            F.coalesce(number_at(4), F.lit(0)), F.coalesce(number_at(5), F.lit(0)),
+        ).try_cast("timestamp_ntz")
+
+    day_first = F.transform(F.array(pieces), built)[0]
+    return F.when(year_first, iso).when(serial, serial_stamp).when(F.size(pieces) == 7, day_first)

@@ -63,14 +63,14 @@ def fuse(
         uplift = F.lit(0.0)
     else:
         gap = 1.0 - F.coalesce(F.col(completeness), F.lit(1.0))
-        uplift = F.when(corroborated, gap * C.EVIDENCE_GAP_WEIGHT * (1.0 - F.col("base"))).otherwise(0.0)
+        uplift = F.when(corroborated, C.EVIDENCE_GAP_WEIGHT * gap * (1.0 - F.col("base"))).otherwise(0.0)
     df = df.withColumn("uplift", uplift)
 
     def share(kind: str, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("contribution"))
 
     shares = [F.when(corroborated & F.col("w_" + k).isNotNull(), share(k, F.col("w_" + k))) for k in kinds]
-    shares.append(F.when(F.col("uplift") > 0, share(EVIDENCE_GAP, F.round("uplift", 4))))
+    shares.append(F.when(F.col("uplift") > 0, share(EVIDENCE_GAP, F.round(F.round("uplift", 10), 4))))
     return (
         df.withColumn("priority", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") + F.col("uplift"))))
         .withColumn("contributions", F.array_compact(F.array(*shares)))

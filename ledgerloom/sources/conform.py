@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
+from ledgerloom.operators.scale import stage
 from ledgerloom.operators.vouchers import number_lines
 from ledgerloom.schema import CONTENT_COLUMNS, LINE_COLUMNS
-from ledgerloom.sources.mapping import HeaderMap, LedgerError, check_usable, map_headers, use_posting_date
+from ledgerloom.sources.mapping import check_usable, map_headers, use_posting_date
 
 ROW = "source_row"
 
@@ -84,23 +85,32 @@ def conform(
     if is_canonical(raw):
         report.mapped = {h: h for h in headers}
         lines = with_ledger(coerce_types(rows), ledger_id).select(*LINE_COLUMNS)
-        return lines, intake_report(rows, lines, report, None), report
+        return lines, canonical_report(rows, report), report
 
     found = use_posting_date(map_headers(headers, overrides))
     report.mapped, report.ignored, report.ambiguous = dict(found.resolved), found.unmapped, found.ambiguous
     check_usable(found)
-    src = rows.select(ROW, *[F.col(f"`{h}`").cast("string").alias(f) for h, f in found.resolved.items()])
-    dated = typed_columns(src, report)
-    kept = dated.where(F.col("voucher_id").isNotNull() & F.col("voucher_date").isNotNull())
-    kept = with_ledger(kept, ledger_id)
+    own = ["ledger_id"] if "ledger_id" in raw.columns else []
+    src = rows.select(ROW, *own, *[F.col(f"`{h}`").cast("string").alias(f) for h, f in found.resolved.items()])
+    # Text is parsed in one pass and kept; numbering, fidelity and counts read the typed table.
+    dated = stage(typed_columns(src, report, own))
+    kept = with_ledger(dated.where(usable()), ledger_id).drop("unread_date")
     kept = with_file_fidelity(kept, "posted_at" in src.columns)
     lines = number_lines(kept).select(*LINE_COLUMNS)
-    return lines, intake_report(rows, lines, report, dated), report
+    return lines, mapped_report(dated, report), report
 
 
-def typed_columns(src: DataFrame, report: Disclosure) -> DataFrame:
+def usable() -> Column:
+    return F.col("voucher_id").isNotNull() & F.col("voucher_date").isNotNull()
+
+
+def typed_columns(src: DataFrame, report: Disclosure, own: list[str]) -> DataFrame:
     """Every canonical column from the mapped text, before rows without id or date are dropped."""
     have = src.columns
+    stamps = {"day_read": dates.parse_ledger_date(F.col("voucher_date"))}
+    if "posted_at" in have:
+        stamps["posted_read"] = dates.parse_ledger_date(F.col("posted_at"))
+    src = src.withColumns(stamps)
     out: dict[str, Column] = {}
     plain = {"account_name": None, "narration": None, "document_ref": None, "approved_by": None, "cost_centre": None,
              "created_by": "unknown", "entity_id": "UNKNOWN"}
@@ -116,11 +126,11 @@ def typed_columns(src: DataFrame, report: Disclosure) -> DataFrame:
         out["currency"] = F.lit("INR")
         report.defaulted.append("currency")
     out |= amounts(have, report)
-    day = dates.parse_ledger_date(F.col("voucher_date"))
+    day = F.col("day_read")
     out["unread_date"] = day.isNull() & text.present(F.col("voucher_date"))
     out["voucher_date"] = day.cast("date")
     if "posted_at" in have:
-        out["posted_at"] = dates.parse_ledger_date(F.col("posted_at"))
+        out["posted_at"] = F.col("posted_read")
     else:
         out["posted_at"] = F.lit(None).cast("timestamp_ntz")
         report.defaulted.append("posted_at")
@@ -149,7 +159,7 @@ def typed_columns(src: DataFrame, report: Disclosure) -> DataFrame:
         else:
             out[name] = F.lit(False)
             report.defaulted.append(name)
-    return src.select(ROW, *[e.alias(c) for c, e in out.items()])
+    return src.select(ROW, *own, *[e.alias(c) for c, e in out.items()])
 
 
 def with_ledger(lines: DataFrame, ledger_id: str | None) -> DataFrame:
@@ -178,19 +188,21 @@ NOTES = {
 }
 
 
-def intake_report(rows: DataFrame, lines: DataFrame, report: Disclosure, dated: DataFrame | None) -> DataFrame:
+def mapped_report(dated: DataFrame, report: Disclosure) -> DataFrame:
+    return report_row(dated.agg(
+        F.count(F.lit(1)).alias("rows_in"), F.count_if(usable()).alias("rows_out"),
+        F.count_if("unread_date").alias("unreadable_dates"),
+    ), report)
+
+
+def canonical_report(rows: DataFrame, report: Disclosure) -> DataFrame:
+    n = F.count(F.lit(1))
+    return report_row(rows.agg(n.alias("rows_in"), n.alias("rows_out"), F.lit(0).cast("bigint").alias("unreadable_dates")), report)
+
+
+def report_row(one: DataFrame, report: Disclosure) -> DataFrame:
     """One row: what was read and used, how each column was handled, and notes for a person."""
     strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    read = rows.agg(F.count(F.lit(1)).alias("rows_in"))
-    used = lines.agg(F.count(F.lit(1)).alias("rows_out"))
-    unread = (
-        dated.agg(F.count_if("unread_date").alias("unreadable_dates"))
-        if dated is not None
-        else lines.agg(F.lit(0).cast("bigint").alias("unreadable_dates"))
-    )
-    one = read.withColumn("_k", F.lit(1)).join(used.withColumn("_k", F.lit(1)), "_k").join(
-        unread.withColumn("_k", F.lit(1)), "_k"
-    ).drop("_k")
     n = F.col("unreadable_dates")
     not_utf8 = report.encoding is not None and report.encoding not in ("utf-8", "utf-8-sig")
     notes = F.array_compact(

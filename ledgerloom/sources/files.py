@@ -43,7 +43,7 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def numbered_text(spark: SparkSession, path: str) -> DataFrame:
+def numbered_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of UTF-8 files with their row number in the file, blank lines included.
 
     Each file block numbers its own lines, a running count over the (few) blocks of a file
@@ -81,19 +81,24 @@ def decoded_text(spark: SparkSession, paths: list[str], encoding: str) -> DataFr
 
 def header_of(lines: DataFrame) -> list[str]:
     first = lines.where(F.col("source_row") == 1).select("value").first()
-    if first is None or not first[0].strip():
+    return split_header(first[0] if first else "")
+
+
+def split_header(line: str) -> list[str]:
+    if not line.strip():
         raise LedgerError("The file has no columns.")
-    return [h.strip() for h in next(csv.reader([first[0]]))]
+    return [h.strip() for h in next(csv.reader([line]))]
 
 
-def parse_rows(lines: DataFrame, headers: list[str]) -> DataFrame:
+def parse_rows(lines: DataFrame, headers: list[str], keep: list[Column] | None = None) -> DataFrame:
     """Text lines to columns, every value text, only the empty field null."""
+    keep = keep or []
     fields = [f"c{i}" for i in range(len(headers))]
     schema = ", ".join(f"{f} string" for f in fields)
     parsed = F.from_csv("value", F.lit(schema), {"sep": ",", "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-    body = lines.where(F.col("source_row") > 1).select("source_row", parsed.alias("r"))
+    body = lines.where(F.col("source_row") > 1).select("source_row", *keep, parsed.alias("r"))
     return body.select(
-        "source_row", *[F.nullif(F.col(f"r.{f}"), F.lit("")).alias(h) for f, h in zip(fields, headers, strict=True)]
+        *[c for c in body.columns if c != "r"], *[F.nullif(F.col(f"r.{f}"), F.lit("")).alias(h) for f, h in zip(fields, headers, strict=True)]
     )
 
 

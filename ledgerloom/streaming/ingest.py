@@ -7,7 +7,7 @@ relative to the whole ledger, so late lines mean that ledger is done again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,20 +15,35 @@ from ledgerloom.config import LEDGER, Thresholds
 from ledgerloom.plans.review import build_findings
 from ledgerloom.schema import LINE
 from ledgerloom.sources.conform import conform
-from ledgerloom.sources.files import header_of, numbered_text, parse_rows
+from ledgerloom.sources.files import numbered_text, parse_rows, split_header
 from ledgerloom.sources.mapping import LedgerError
 
 FILES_PER_BATCH = 64
 
 
-def ledger_of(path: str) -> str:
-    return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+def ledger_name(file: Column) -> Column:
+    """A dropped file's name, without its folder and extension, is its ledger."""
+    return F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def conform_file(spark: SparkSession, path: str) -> DataFrame:
-    """One dropped file (its name is the ledger) to canonical lines."""
-    lines = numbered_text(spark, path)
-    return conform(parse_rows(lines, header_of(lines)), ledger_id=ledger_of(path))[0]
+def conform_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """Files of one micro-batch to canonical lines; files with equal headers are read together."""
+    heads = numbered_text(spark, paths).where(F.col("source_row") == 1).select("file", "value").collect()
+    alike: dict[str, list[str]] = {}
+    for file, line in heads:
+        alike.setdefault(line, []).append(file)
+    landed, refused = None, []
+    for line, files_alike in alike.items():
+        try:
+            rows = parse_rows(
+                numbered_text(spark, files_alike), split_header(line), [ledger_name(F.col("file")).alias("ledger_id")]
+            )
+            lines = conform(rows)[0]
+        except LedgerError as problem:
+            refused += [(file, str(problem)) for file in files_alike]
+            continue
+        landed = lines if landed is None else landed.unionByName(lines)
+    return landed, refused
 
 
 def replace_ledgers(frame: DataFrame, path: str) -> None:
@@ -38,21 +53,14 @@ def replace_ledgers(frame: DataFrame, path: str) -> None:
 def land_batch(spark: SparkSession, batch: DataFrame, out: str, thresholds: Thresholds, use_model: bool) -> None:
     # File names only, at most FILES_PER_BATCH of them.
     paths = [r[0] for r in batch.select("file").distinct().collect()]
-    landed, refused = None, []
-    for path in sorted(paths):
-        try:
-            lines = conform_file(spark, path)
-        except LedgerError as problem:
-            refused.append((path, str(problem)))
-            continue
-        landed = lines if landed is None else landed.unionByName(lines)
+    landed, refused = conform_files(spark, sorted(paths))
     if refused:
         spark.createDataFrame(refused, "file string, reason string").write.mode("append").parquet(f"{out}/refused")
     if landed is None:
         return
     replace_ledgers(landed, f"{out}/lines")
-    names = [ledger_of(p) for p in paths]
-    stored = spark.read.schema(LINE).parquet(f"{out}/lines").where(F.col(LEDGER).isin(*names))
+    touched = [r[0] for r in batch.select(ledger_name(F.col("file"))).distinct().collect()]
+    stored = spark.read.schema(LINE).parquet(f"{out}/lines").where(F.col(LEDGER).isin(*touched))
     replace_ledgers(build_findings(stored, thresholds, use_model=use_model), f"{out}/queue")
 
 
