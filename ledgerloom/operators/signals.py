@@ -36,14 +36,11 @@ class RowSignal:
     evidence: Callable[[], list[Column]]
     needs: tuple[str, ...] = ()
 
-    def struct(self) -> Column:
-        body = F.struct(
-            F.lit(self.kind).alias("kind"),
-            self.strength().cast("double").alias("strength"),
-            self.reason().alias("reason"),
-            F.to_json(F.struct(*self.evidence())).alias("evidence"),
-        )
-        return F.when(self.fires(), body)
+    def struct(self, detail: bool = True) -> Column:
+        body = [F.lit(self.kind).alias("kind"), self.strength().cast("double").alias("strength")]
+        if detail:
+            body += [self.reason().alias("reason"), F.to_json(F.struct(*self.evidence())).alias("evidence")]
+        return F.when(self.fires(), F.struct(*body))
 
 
 @dataclass(frozen=True)
@@ -277,8 +274,14 @@ def sparse_hits(df: DataFrame, kind: str, strength: Column, reason: Column, evid
 
 def duplicate_pairs(frames: LedgerFrames) -> DataFrame:
     """Vouchers with the one before them of equal amount and accounts, within the window."""
-    group = [LEDGER, "amount_paise", "accounts"]
-    rows = frames.vouchers.where(c("voucher_date").isNotNull()).select(*group, "voucher_date", "voucher_id")
+    group = [LEDGER, "amount_paise", "accounts_a", "accounts_b"]
+    rows = frames.vouchers.where(c("voucher_date").isNotNull()).select(
+        LEDGER, "amount_paise", F.xxhash64("accounts").alias("accounts_a"),
+        F.xxhash64(F.lit("accounts"), "accounts").alias("accounts_b"), "voucher_date", "voucher_id",
+    )
+    # Few amounts recur on the same accounts: only those groups are ordered.
+    recurring = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("group_vouchers")).where(c("group_vouchers") > 1)
+    rows = stage(salted_join(rows, recurring, group, weight="group_vouchers", salt_by=["voucher_id"], how="inner"))
     chained = previous_row(rows, group, ["voucher_date", "voucher_id"], "earlier").where(c("earlier").isNotNull())
     chained = chained.withColumn("days_apart", F.datediff(c("voucher_date"), c("earlier.voucher_date")))
     window = frames.times.select(LEDGER, "n_vouchers", "t_duplicate_window_days")
@@ -380,15 +383,21 @@ def run_signals(
     frames: LedgerFrames,
     enabled: Iterable[str] = tuple(RULE_KINDS),
     registry: dict[str, RowSignal | FrameSignal] | None = None,
+    *,
+    detail: bool = True,
 ) -> DataFrame:
-    """Hits of the enabled signals; the row-local ones come out of a single pass."""
+    """Hits of the enabled signals; the row-local ones come out of a single pass.
+
+    ``detail=False`` leaves out reasons and evidence, which ranking does not read.
+    """
     known = registry or built_in()
     chosen = [known[k] for k in known if k in set(enabled)]
     rows = [s for s in chosen if isinstance(s, RowSignal)]
-    parts = [s.hits(frames).select(*HIT_COLUMNS) for s in chosen if isinstance(s, FrameSignal)]
+    columns = HIT_COLUMNS if detail else HIT_COLUMNS[:4]
+    parts = [s.hits(frames).select(*columns) for s in chosen if isinstance(s, FrameSignal)]
     if rows:
         needs = sorted({n for s in rows for n in s.needs})
-        fired = F.array_compact(F.array(*[s.struct() for s in rows]))
+        fired = F.array_compact(F.array(*[s.struct(detail) for s in rows]))
         wide = frames.context(*needs).select(*KEY, F.explode(fired).alias("hit"))
         parts.append(wide.select(*KEY, "hit.*"))
     out = parts[0]

@@ -63,8 +63,8 @@ def account_profile(vouchers: DataFrame) -> DataFrame:
     )
 
 
-def account_amount_stats(vouchers: DataFrame) -> DataFrame:
-    """``account_profile`` with the median absolute deviation of log10 amounts."""
+def account_amount_stats(vouchers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``account_profile``, and the same with the median absolute deviation of log10 amounts."""
     profile = stage(account_profile(vouchers))
     away = salted_join(
         amount_cells(vouchers), profile.select(*ACCOUNT, "n", "log_median"), ACCOUNT,
@@ -72,7 +72,7 @@ def account_amount_stats(vouchers: DataFrame) -> DataFrame:
     ).select(*ACCOUNT, "w", F.abs(log_amount(F.col("amount_paise")) - F.col("log_median")).alias("away"))
     spread = exact_quantiles(away, ACCOUNT, "away", "w", F.floor(F.col("away") * 8192).cast("bigint"), [0.5])
     mad = spread.select(*ACCOUNT, ((F.col("q0.lo") + F.col("q0.hi")) / 2).alias("mad"))
-    return profile.join(mad, ACCOUNT)
+    return profile, profile.join(mad, ACCOUNT)
 
 
 def deviation() -> Column:
@@ -82,8 +82,8 @@ def deviation() -> Column:
 
 
 def amount_deviation(vouchers: DataFrame) -> DataFrame:
-    stats = account_amount_stats(vouchers)
-    return salted_join(vouchers, stats, ACCOUNT, weight="n", salt_by=["voucher_id"]).select(
+    profile, stats = account_amount_stats(vouchers)
+    return salted_join(vouchers, stats, ACCOUNT, weight="n", salt_by=["voucher_id"], sizes=profile).select(
         *KEY, "primary_account", "amount_paise", deviation().alias("deviation")
     )
 

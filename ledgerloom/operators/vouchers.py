@@ -22,9 +22,8 @@ def file_order() -> Column:
 
 
 def first_seen(column: str) -> Column:
-    """First non-null value in file order."""
-    spot = F.struct(file_order().alias("row"), F.col("line_id"))
-    return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), spot)).alias(column)
+    """First non-null value of a voucher in file order (a voucher's rows have distinct places)."""
+    return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), file_order())).alias(column)
 
 
 def accounts_where(condition: Column) -> Column:
@@ -47,9 +46,14 @@ def voucher_view(lines: DataFrame) -> DataFrame:
         F.count("posted_at").alias("posted_lines"),
         *[first_seen(c) for c in firsts],
     )
-    return grouped.withColumn(
-        "accounts", F.sort_array(F.array_union("debit_accounts", "credit_accounts"))
-    ).withColumn("primary_account", F.coalesce(F.try_element_at("debit_accounts", F.lit(1)), F.lit("")))
+    sides = [F.col("debit_accounts"), F.col("credit_accounts")]
+    shape = [F.col("created_by"), *sides]
+    return grouped.withColumns({
+        "accounts": F.sort_array(F.array_union(*sides)),
+        "primary_account": F.coalesce(F.try_element_at("debit_accounts", F.lit(1)), F.lit("")),
+        "shape_a": F.xxhash64(*shape),
+        "shape_b": F.xxhash64(F.lit("shape"), *shape),
+    })
 
 
 def time_fidelity(posted: Column, clocked: Column) -> Column:
@@ -85,7 +89,10 @@ def account_pairs(vouchers: DataFrame) -> DataFrame:
 PAIR = [LEDGER, "debit_account", "credit_account"]
 
 
-SHAPE = [LEDGER, "created_by", "debit_accounts", "credit_accounts"]
+#: A shape is a preparer with a set of debit and a set of credit accounts. Joins and
+#: group-bys use its 128-bit hash, fixed-width columns, not the arrays.
+SHAPE = [LEDGER, "shape_a", "shape_b"]
+SHAPE_PARTS = ["created_by", "debit_accounts", "credit_accounts"]
 
 
 def posting_shapes(vouchers: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def posting_shapes(vouchers: DataFrame) -> DataFrame:
     A book repeats few shapes over many vouchers, so pairings and preparer habits are worked
     out once per shape and joined back, not once per voucher.
     """
-    return vouchers.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("shape_vouchers"))
+    return vouchers.groupBy(*SHAPE, *SHAPE_PARTS).agg(F.count(F.lit(1)).alias("shape_vouchers"))
 
 
 def shape_pairs(shapes: DataFrame) -> DataFrame:
@@ -222,7 +229,7 @@ class LedgerFrames:
     def shape_rarity(self) -> DataFrame:
         """Per shape: its rarest pair, ties to the first pair in account order."""
         seen = salted_join(
-            shape_pairs(self.shapes), self.pair_counts, PAIR,
+            shape_pairs(self.shapes).select(*SHAPE, "debit_account", "credit_account"), self.pair_counts, PAIR,
             weight="pair_shapes", salt_by=SHAPE, how="inner",
         )
         spot = F.min(F.struct("times_seen", "debit_account", "credit_account"))
@@ -232,7 +239,7 @@ class LedgerFrames:
     def shape_account_use(self) -> DataFrame:
         """Per (shape, account): the account's owner and total, and the preparer's own lines."""
         every = F.array_union("debit_accounts", "credit_accounts")
-        touched = self.shapes.withColumn("account_code", F.explode(every))
+        touched = self.shapes.select(*SHAPE, "created_by", F.explode(every).alias("account_code"))
         per_account = touched.groupBy(LEDGER, "account_code").agg(F.count(F.lit(1)).alias("account_shapes"))
         owners = (self.account_owner.join(per_account, [LEDGER, "account_code"]))
         own = self.preparer_counts.select(LEDGER, "created_by", "account_code", "entries")
@@ -249,7 +256,7 @@ class LedgerFrames:
                 mine, owners, [LEDGER, "account_code"], weight="account_shapes", salt_by=SHAPE, sizes=per_account
             )
             .withColumn("entries", F.coalesce(F.col("entries"), F.lit(0)))
-            .select(*SHAPE, "account_code", "entries", "total", "owner", "owner_share")
+            .select(*SHAPE, "created_by", "account_code", "entries", "total", "owner", "owner_share")
         )
 
     @cached_property
@@ -280,10 +287,10 @@ class LedgerFrames:
         )
 
     @cached_property
-    def account_stats(self) -> DataFrame:
+    def account_stats(self) -> tuple[DataFrame, DataFrame]:
         from ledgerloom.operators.statistics import account_amount_stats
 
-        return stage(account_amount_stats(self.vouchers))
+        return account_amount_stats(self.vouchers)
 
     def shape_facts(self, *needs: str) -> DataFrame:
         """Per shape: its ledger's statistics and what ``needs`` asks for."""
@@ -298,12 +305,13 @@ class LedgerFrames:
                 facts = facts.join(self.shape_preparer, SHAPE, "left")
             if "amounts" in needs:
                 first = F.coalesce(F.try_element_at("debit_accounts", F.lit(1)), F.lit(""))
-                usual = self.account_stats.withColumnRenamed("n", "account_entries")
+                profile, usual = self.account_stats
                 facts = salted_join(
-                    facts.withColumn("primary_account", first), usual, [LEDGER, "primary_account"],
-                    weight="account_entries", salt_by=SHAPE[1:],
+                    facts.withColumn("primary_account", first), usual.withColumnRenamed("n", "account_entries"),
+                    [LEDGER, "primary_account"], weight="account_entries", salt_by=SHAPE[1:],
+                    sizes=profile.withColumnRenamed("n", "account_entries"),
                 ).drop("primary_account")
-            self._facts[needs] = stage(facts)
+            self._facts[needs] = stage(facts.drop(*SHAPE_PARTS))
         return self._facts[needs]
 
     def context(self, *needs: str) -> DataFrame:

@@ -228,7 +228,7 @@ def mean_by(frame: DataFrame, key: str) -> DataFrame:
 
 def ablation(frames: LedgerFrames, interesting: DataFrame, *, use_model: bool = True) -> DataFrame:
     """Queue quality with one part switched off at a time; hits are computed once."""
-    hits = stage(all_hits(frames, use_model=use_model))
+    hits = stage(all_hits(frames, use_model=use_model, detail=False))
     context = frames.context(*EVERYTHING)
     no_document_rule = hits.where(F.col("kind") != "missing_evidence")
     no_model = hits.where(~F.col("kind").isin(*C.MODEL_KINDS))

@@ -17,9 +17,11 @@ from ledgerloom.operators.vouchers import LedgerFrames
 EVERYTHING = ("amounts", "pairs", "preparer")
 
 
-def all_hits(frames: LedgerFrames, *, use_model: bool = True, drop_signals: Iterable[str] = ()) -> DataFrame:
+def all_hits(
+    frames: LedgerFrames, *, use_model: bool = True, drop_signals: Iterable[str] = (), detail: bool = True
+) -> DataFrame:
     kinds = [*RULE_KINDS, *STATISTIC_KINDS, *(MODEL_KINDS if use_model else [])]
-    return run_signals(frames, [k for k in kinds if k not in set(drop_signals)])
+    return run_signals(frames, [k for k in kinds if k not in set(drop_signals)], detail=detail)
 
 
 def build_findings(
@@ -34,7 +36,7 @@ def build_findings(
     """The ranked queue of every ledger in ``lines``: one row per finding with its ``rank``."""
     frames = lines if isinstance(lines, LedgerFrames) else LedgerFrames(lines, thresholds, overrides)
     frames.keep_context(*EVERYTHING)
-    hits = all_hits(frames, use_model=use_model, drop_signals=drop_signals)
+    hits = all_hits(frames, use_model=use_model, drop_signals=drop_signals, detail=False)
     return queue(findings(hits, frames.context(*EVERYTHING), use_evidence=use_evidence))
 
 
