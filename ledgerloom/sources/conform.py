@@ -28,9 +28,15 @@ class Disclosure:
     encoding: str | None = None
 
 
+def named(header: str) -> Column:
+    """A column by its literal header, dots and all."""
+    return F.col("`" + header.replace("`", "``") + "`")
+
+
 def drop_blank_rows(raw: DataFrame) -> DataFrame:
     """Rows where every file column is null go; their row numbers stay with the others."""
-    return raw.dropna(how="all", subset=[c for c in raw.columns if c != ROW])
+    cells = [named(c).cast("string") for c in raw.columns if c not in (ROW, "ledger_id")]
+    return raw.where(F.coalesce(*cells).isNotNull()) if len(cells) > 1 else raw.where(cells[0].isNotNull())
 
 
 def is_canonical(raw: DataFrame) -> bool:
@@ -91,7 +97,7 @@ def conform(
     report.mapped, report.ignored, report.ambiguous = dict(found.resolved), found.unmapped, found.ambiguous
     check_usable(found)
     own = ["ledger_id"] if "ledger_id" in raw.columns else []
-    src = rows.select(ROW, *own, *[F.col(f"`{h}`").cast("string").alias(f) for h, f in found.resolved.items()])
+    src = rows.select(ROW, *own, *[named(h).cast("string").alias(f) for h, f in found.resolved.items()])
     # Text is parsed in one pass and kept; numbering, fidelity and counts read the typed table.
     dated = stage(typed_columns(src, report, own))
     kept = with_ledger(dated.where(usable()), ledger_id).drop("unread_date")
