@@ -24,7 +24,7 @@ from ledgerloom.operators.statistics import FEATURES, voucher_features
 TREES, SAMPLE, SEED = 200, 256, 20250906
 MODEL_VERSION = "hash-isolation-forest-1"
 TOP_FEATURES = 3
-SCORE_ROWS = 50_000
+SCORE_ROWS = 100_000
 
 FEATURE_WORDS = {
     "log_amount": "the size of the amount",
@@ -47,7 +47,8 @@ FEATURE_WORDS = {
     "amount_deviation": "how far the amount sits from others on the account",
 }
 
-NODES = "ledger_id string, tree int, node int, feature int, cut double, depth double"
+#: A ledger's whole forest as one row: heap-numbered node arrays, tree after tree.
+FOREST = "ledger_id string, width int, feature binary, cut binary, depth binary"
 
 
 def path_credit(n: int) -> float:
@@ -79,29 +80,30 @@ def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[i
 
 
 def fit_ledger(pool: pd.DataFrame) -> pd.DataFrame:
-    """All trees of one ledger from its bounded pool of drawn vouchers."""
+    """All trees of one ledger, packed (about 1.5 MB), from its bounded pool of drawn vouchers."""
     pool = pool.sort_values("voucher_id", kind="mergesort")
     rows = pool[FEATURES].to_numpy(dtype="float64")
     size = min(SAMPLE, len(rows))
     limit = max(1, math.ceil(math.log2(max(size, 2))))
-    out = []
+    width = 2 ** (limit + 1)
+    feature = np.full((TREES, width), -1, dtype="int8")
+    cut, depth = np.zeros((TREES, width)), np.zeros((TREES, width), dtype="float32")
     for tree in range(TREES):
         rng = np.random.default_rng([SEED, tree])
         drawn = rng.choice(len(rows), size=size, replace=False)
-        out += [(tree, *node) for node in grow(rows[drawn], rng, limit)]
-    frame = pd.DataFrame(out, columns=["tree", "node", "feature", "cut", "depth"])
-    frame.insert(0, "ledger_id", pool["ledger_id"].iloc[0])
-    return frame
+        for node, on, at, leaf in grow(rows[drawn], rng, limit):
+            feature[tree, node], cut[tree, node], depth[tree, node] = on, at, leaf
+    one = {"ledger_id": pool["ledger_id"].iloc[0], "width": width, "feature": feature.tobytes(), "cut": cut.tobytes(), "depth": depth.tobytes()}
+    return pd.DataFrame([one])
 
 
 def score_rows(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
     """Scores of one group of vouchers under its ledger's forest; higher is stranger."""
     values = rows[FEATURES].to_numpy(dtype="float64")
-    width = int(forest["node"].max()) + 1
-    flat = forest["tree"].to_numpy() * width + forest["node"].to_numpy()
-    feature = np.full(TREES * width, -1, dtype="int32")
-    cut, depth = np.zeros(TREES * width), np.zeros(TREES * width)
-    feature[flat], cut[flat], depth[flat] = forest["feature"], forest["cut"], forest["depth"]
+    packed = forest.iloc[0]
+    width = int(packed["width"])
+    feature = np.frombuffer(packed["feature"], dtype="int8")
+    cut, depth = np.frombuffer(packed["cut"]), np.frombuffer(packed["depth"], dtype="float32")
     total, every = np.zeros(len(rows)), np.arange(len(rows))
     for tree in range(TREES):
         at = np.full(len(rows), tree * width + 1)
@@ -129,7 +131,7 @@ def training_pool(features: DataFrame) -> DataFrame:
 def forest_scores(features: DataFrame) -> DataFrame:
     """Isolation score per voucher."""
     features = stage(features)
-    forest = training_pool(features).groupBy(LEDGER).applyInPandas(fit_ledger, NODES)
+    forest = training_pool(features).groupBy(LEDGER).applyInPandas(fit_ledger, FOREST)
     groups = F.ceil(F.col("n_vouchers") / SCORE_ROWS).cast("int")
     rows = features.withColumn("part", F.pmod(F.xxhash64(*KEY), groups).cast("int")).withColumn(
         "fit_rows", F.least(F.col("n_vouchers"), F.lit(TREES * SAMPLE))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
-from ledgerloom.operators.scale import stage
+from ledgerloom.operators.scale import salted_join, stage
 from ledgerloom.operators.vouchers import number_lines
 from ledgerloom.schema import CONTENT_COLUMNS, LINE_COLUMNS
 from ledgerloom.sources.mapping import check_usable, map_headers, use_posting_date
@@ -181,9 +181,12 @@ def with_file_fidelity(lines: DataFrame, has_column: bool) -> DataFrame:
         return lines.withColumn("time_fidelity", F.lit("unknown"))
     per_ledger = lines.groupBy("ledger_id").agg(
         F.when(F.coalesce(F.max(dates.has_clock(F.col("posted_at"))), F.lit(False)), "date_and_time")
-        .otherwise("date_only").alias("time_fidelity")
+        .otherwise("date_only").alias("time_fidelity"),
+        F.count(F.lit(1)).alias("ledger_rows"),
     )
-    return lines.join(per_ledger, "ledger_id")
+    return salted_join(
+        lines, per_ledger, ["ledger_id"], weight="ledger_rows", salt_by=["voucher_id", ROW], how="inner"
+    ).drop("ledger_rows")
 
 
 NOTES = {
