@@ -6,6 +6,7 @@ import re
 from dataclasses import asdict
 
 from ledgerloom import config as C
+from ledgerloom.operators.statistics import FEATURES
 from ledgerloom.plans import evaluation, explain, fixtures, textaudit
 
 CTE: dict[str, str] = {}
@@ -526,15 +527,21 @@ for _name, (_kind, _facts) in SIGNAL_FACTS.items():
 oracle("amount_deviation", f"SELECT {KEY}, primary_account, round(deviation, 6) deviation FROM devs")
 CTE["familiar"] = f"SELECT {KEY}, min(entries / total) familiarity FROM use GROUP BY 1, 2"
 _tz = "CASE WHEN amount_paise = 0 THEN 0 ELSE least(10, length(amount_paise::VARCHAR) - length(rtrim(amount_paise::VARCHAR, '0'))) END"
-CTE["feats"] = f"""
-SELECT ledger_id, voucher_id, round(log10(greatest(amount_paise, 1)), 6) log_amount, line_count::DOUBLE line_count, left(greatest(amount_paise, 1)::VARCHAR, 1)::DOUBLE first_digit, ({_tz})::DOUBLE trailing_zeros,
+CTE["feats0"] = f"""
+SELECT ledger_id, voucher_id, log10(greatest(amount_paise, 1)) log_amount, line_count::DOUBLE line_count, left(greatest(amount_paise, 1)::VARCHAR, 1)::DOUBLE first_digit, ({_tz})::DOUBLE trailing_zeros,
   (amount_paise % 100000 = 0)::INT::DOUBLE is_round_thousand, CASE WHEN fidelity = 'date_and_time' THEN hour(posted_at) ELSE -1 END::DOUBLE posting_hour,
   (fidelity = 'date_and_time')::INT::DOUBLE has_posting_time, ((dayofweek(voucher_date) + 6) % 7)::DOUBLE day_of_week, date_diff('day', voucher_date, year_end)::DOUBLE days_to_year_end,
   date_diff('day', voucher_date, posted_at::DATE)::DOUBLE posting_lag_days, is_manual::INT::DOUBLE is_manual, is_post_close::INT::DOUBLE is_post_close, (evidence_lines > 0)::INT::DOUBLE has_evidence,
-  round(evidence_lines / line_count, 6) evidence_coverage, (approved_by IS NOT NULL)::INT::DOUBLE has_approver, round(-log10(coalesce(times_seen, 1) / n_vouchers), 6) account_pair_rarity,
-  round(coalesce(familiarity, 1), 6) preparer_familiarity, round(deviation, 6) amount_deviation
+  evidence_lines / line_count evidence_coverage, (approved_by IS NOT NULL)::INT::DOUBLE has_approver, -log10(coalesce(times_seen, 1) / n_vouchers) account_pair_rarity,
+  coalesce(familiarity, 1) preparer_familiarity, deviation amount_deviation
 FROM ctx LEFT JOIN rarest USING (ledger_id, voucher_id) LEFT JOIN familiar USING (ledger_id, voucher_id) JOIN (SELECT {KEY}, deviation FROM devs) USING (ledger_id, voucher_id)"""
+CTE["feats"] = "SELECT ledger_id, voucher_id, " + ", ".join(f"round({f}, 6) {f}" for f in FEATURES) + " FROM feats0"
+CTE["centres"] = "SELECT ledger_id, " + ", ".join(f"quantile_cont({f}, 0.5) m_{f}, stddev_pop({f}) s_{f}" for f in FEATURES) + " FROM feats0 GROUP BY 1"
+_far = ", ".join(
+    "{'d': -round(coalesce(abs(%s - m_%s) / nullif(s_%s, 0), 0), 6), 'i': %d, 'f': '%s'}" % (f, f, f, i, f) for i, f in enumerate(FEATURES)
+)
 oracle("voucher_features", "SELECT * FROM feats")
+oracle("top_features", f"SELECT {KEY}, array_to_string(list_transform(list_sort([{_far}])[1:3], lambda x: x.f), '|') top FROM feats0 JOIN centres USING (ledger_id)")
 oracle("first_digit", f"SELECT {KEY}, left(greatest(amount_paise, 1)::VARCHAR, 1)::INT first_digit, ({_tz})::INT trailing_zeros FROM vch")
 oracle("pair_rarity", f"SELECT {KEY}, round(-log10(coalesce(times_seen, 1) / n_vouchers), 6) rarity FROM ctx LEFT JOIN rarest USING (ledger_id, voucher_id)")
 oracle("preparer_familiarity", f"SELECT {KEY}, round(familiarity, 6) familiarity FROM familiar")
