@@ -324,7 +324,7 @@ oracle("write_ledger", "SELECT ledger_id, count(*) n, sum(debit_paise)::BIGINT d
 CTE["reasons"] = "SELECT ledger_id, voucher_id, array_to_string(list(reason ORDER BY c DESC, kind), ' | ') reasons FROM hits JOIN whits USING (ledger_id, voucher_id, kind) GROUP BY 1, 2"
 CTE["behind"] = "SELECT ledger_id, voucher_id, array_to_string(list_sort(list(line_id)), ', ') source_lines, count(*) lines_behind FROM lines GROUP BY 1, 2"
 oracle("report_frame", f"""
-SELECT ledger_id, voucher_id, voucher_date::VARCHAR date, {inr('amount_paise')} amount, amount_paise, round(priority, 3) priority, band,
+SELECT ledger_id, voucher_id, voucher_date::VARCHAR date, {inr('amount_paise')} amount, amount_paise, round(priority::DECIMAL(20, 6), 3)::DOUBLE priority, band,
   array_to_string(kinds, '; ') concerns, reasons, completeness evidence_completeness, array_to_string(missing, ', ') evidence_missing, source_lines,
   CASE action WHEN 'accept' THEN 'Exception — follow up' WHEN 'reject' THEN 'Cleared — not a concern' WHEN 'investigate' THEN 'Investigating' WHEN 'adjust' THEN 'Re-banded' ELSE 'Not yet reviewed' END reviewer_decision,
   status status_code, coalesce(reviewer, '') reviewer, coalesce(strftime(decided_at, '%d-%m-%Y %H:%M') || ' UTC', '') decided_at, coalesce(note, '') note
@@ -399,7 +399,7 @@ WHERE band = 'high' AND list_contains(concerns, 'missing_evidence') AND NOT has_
 oracle("queue_search", """
 SELECT ledger_id, voucher_id, f.amount_paise FROM fnd f JOIN vch v USING (ledger_id, voucher_id)
 WHERE contains(lower(concat_ws(' ', voucher_id, narration, created_by, array_to_string(account_names, ' '))), 'expense')
-AND contains(lower(concat_ws(' ', voucher_id, narration, created_by, array_to_string(account_names, ' '))), '5003')""")
+AND (contains(lower(concat_ws(' ', voucher_id, narration, created_by, array_to_string(account_names, ' '))), '5003') OR contains(f.amount_paise::VARCHAR, '5003'))""")
 oracle("lines_for_voucher", f"SELECT {KEY}, source_row, line_id, account_code, debit_paise, credit_paise FROM lines SEMI JOIN (SELECT * FROM fnd WHERE band = 'high') USING (ledger_id, voucher_id)")
 oracle("owner_scope", "SELECT 'E' || c_custkey id, 'U3' owner_id FROM customer WHERE c_custkey % 7 = 3")
 
@@ -543,6 +543,8 @@ _far = ", ".join(
 oracle("voucher_features", "SELECT * FROM feats")
 oracle("top_features", f"SELECT {KEY}, array_to_string(list_transform(list_sort([{_far}])[1:3], lambda x: x.f), '|') top FROM feats0 JOIN centres USING (ledger_id)")
 oracle("first_digit", f"SELECT {KEY}, left(greatest(amount_paise, 1)::VARCHAR, 1)::INT first_digit, ({_tz})::INT trailing_zeros FROM vch")
+_ltz = _tz.replace("amount_paise", "(debit_paise + credit_paise)")
+oracle("trailing_zeros", f"SELECT ledger_id, ({_ltz})::INT trailing_zeros, count(*) n FROM lines GROUP BY 1, 2")
 oracle("pair_rarity", f"SELECT {KEY}, round(-log10(coalesce(times_seen, 1) / n_vouchers), 6) rarity FROM ctx LEFT JOIN rarest USING (ledger_id, voucher_id)")
 oracle("preparer_familiarity", f"SELECT {KEY}, round(familiarity, 6) familiarity FROM familiar")
 

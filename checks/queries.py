@@ -683,7 +683,7 @@ def _(b):
 
 @query("hits_by_kind")
 def _(b):
-    return signals.hits_by_kind(b.hits)
+    return signals.hits_by_kind(b.hits, ledgers=b.frames.times)
 
 
 @query("hits_by_voucher")
@@ -938,6 +938,12 @@ def _(b):
     return b.frames.vouchers.select(*KEY, statistics.first_digit(a).alias("first_digit"), statistics.trailing_zeros(a).alias("trailing_zeros"))
 
 
+@query("trailing_zeros")
+def _(b):
+    zeros = statistics.trailing_zeros(F.col("debit_paise") + F.col("credit_paise"))
+    return b.lines.groupBy(LEDGER, zeros.alias("trailing_zeros")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("pair_rarity")
 def _(b):
     c = b.frames.context("pairs")

@@ -91,14 +91,11 @@ def by_strength(contributions: Column) -> Column:
 
 def headline_concerns(contributions: Column) -> Column:
     """Signal kinds strongest first without the minor ones, but never an empty list."""
-    signals = F.filter(
-        F.array_sort(
-            F.transform(
-                F.filter(contributions, lambda x: x["kind"] != EVIDENCE_GAP),
-                lambda x: F.struct((-x["contribution"]).alias("down"), x["kind"].alias("kind")),
-            )
-        ),
-        lambda x: F.lit(True),
+    signals = F.array_sort(
+        F.transform(
+            F.filter(contributions, lambda x: x["kind"] != EVIDENCE_GAP),
+            lambda x: F.struct((-x["contribution"]).alias("down"), x["kind"].alias("kind")),
+        )
     )
     major = F.filter(signals, lambda x: -x["down"] >= C.MINOR_CONTRIBUTION)
     kept = F.when(F.size(major) > 0, major).otherwise(F.slice(signals, 1, 1))

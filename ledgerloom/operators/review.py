@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.config import KEY, LEDGER, VOUCHER
-from ledgerloom.functions import dates, money
+from ledgerloom.functions import money
 from ledgerloom.operators.fusion import by_strength
 from ledgerloom.operators.scale import ranked
 from ledgerloom.operators.vouchers import file_order
@@ -198,6 +198,3 @@ def engagement_summary(
         .drop("last_decision")
     )
 
-
-def strongest_first(found: DataFrame) -> DataFrame:
-    return found.withColumn("ordered", by_strength(F.col("contributions")))

@@ -416,9 +416,12 @@ def registry_table(spark, registry: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "position int, kind string, layer string, weight double")
 
 
-def hits_by_kind(hits: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Distinct vouchers per ledger and kind, zero where a kind found nothing."""
-    ledgers = hits.select(LEDGER).distinct()
+def hits_by_kind(hits: DataFrame, kinds: list[str] | None = None, ledgers: DataFrame | None = None) -> DataFrame:
+    """Distinct vouchers per ledger and kind, zero where a kind found nothing.
+
+    ``ledgers`` names the ledgers to report on; without it, those with any hit.
+    """
+    ledgers = (hits if ledgers is None else ledgers).select(LEDGER).distinct()
     every = F.explode(F.array(*map(F.lit, kinds or ALL_KINDS))).alias("kind")
     found = hits.select(*KEY, "kind").distinct().groupBy(LEDGER, "kind").agg(F.count(F.lit(1)).alias("vouchers"))
     return (
