@@ -39,7 +39,7 @@ INPUT = 12
 #: Hash buckets of n-grams and words; a bucket has a vector if this share of the sample's documents holds it (3 at least).
 GRAM_BUCKETS = 1 << 18
 WORD_BUCKETS = 1 << 16
-HELD_BY = 0.01
+HELD_BY = 0.005
 DECAY = 2e-4
 #: Words whose gate inputs a scoring task keeps.
 CACHE = 200_000
