@@ -164,7 +164,8 @@ def links(distinct: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFram
             yield close()
 
     placed = index_groups(distinct, group)
-    return placed.repartition("path", "lead").sortWithinPartitions("path", "lead", "fp").mapInArrow(search, "a bigint, b bigint")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small rows with much work are not merged
+    return placed.repartition(tasks, "path", "lead").sortWithinPartitions("path", "lead", "fp").mapInArrow(search, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
