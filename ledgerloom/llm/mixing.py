@@ -36,8 +36,8 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """From (no_source, source_name, size): one row per source with source_size, docs and target (staged)."""
-    per = stage(sizes.groupBy("no_source", "source_name").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
-    numbered = ranked(per.withColumn("one", F.lit(1)), ["one"], ["no_source", "source_name"], "place")
+    per = stage(sizes.groupBy("no_source", "source_name").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).withColumn("one", F.lit(1)))
+    numbered = ranked(per, ["one"], ["no_source", "source_name"], "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, len(weights)) + 1).cast("int"))
     sources = stage(numbered.select("no_source", "source_name", "source_size", "docs", weight.alias("weight")))
     cap = F.col("source_size") * most
