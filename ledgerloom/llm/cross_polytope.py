@@ -190,9 +190,14 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
     hits = base.groupBy("bucket", "slice").cogroup(probing.groupBy("bucket", "slice")).applyInArrow(
         rerank, "rid bigint, query_id bigint, found array<struct<score double, vec_id bigint, rid bigint>>"
     )
-    # Per query: tables x probes lists of ``nearest`` at most. A row found in several tables has one exact score.
-    merged = hits.groupBy("rid", "query_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    order = F.transform("found", lambda f: F.struct((-f["score"]).alias("s"), f["vec_id"].alias("vec_id"), f["rid"].alias("rid"), f["score"].alias("score")))
-    top = merged.select("query_id", F.posexplode(F.slice(F.array_sort(order), 1, nearest)).alias("place", "f"))
-    name = F.when(F.col("f.vec_id") == 2**63 - 1, F.lit(None)).otherwise(F.col("f.vec_id"))
-    return top.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), name.alias("vec_id"), F.col("f.score").alias("score"))
+    def merge(group: pa.Table) -> pa.Table:
+        """One query: tables x probes x slices lists of ``nearest``; a row found in several tables has one exact score."""
+        found = group.column("found").combine_chunks().flatten()
+        rid, at = np.unique(found.field("rid").to_numpy(), return_index=True)
+        score, vec = found.field("score").to_numpy()[at], found.field("vec_id").to_numpy()[at]
+        order = np.lexsort((rid, vec, -score))[:nearest]
+        vec = pa.array(vec[order], mask=vec[order] == 2**63 - 1)
+        query = pa.array(np.full(len(order), group.column("query_id")[0].as_py()), pa.int64())
+        return pa.table({"query_id": query, "rank": pa.array(np.arange(1, len(order) + 1), pa.int32()), "vec_id": vec, "score": pa.array(score[order])})
+
+    return hits.groupBy("rid").applyInArrow(merge, shape)
