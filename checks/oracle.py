@@ -316,7 +316,7 @@ SELECT id, engagement_id, sha256, filename, uploaded_by FROM (SELECT * FROM srcs
   QUALIFY row_number() OVER (PARTITION BY engagement_id, sha256 ORDER BY uploaded_at, id) = 1) f
 WHERE NOT EXISTS (SELECT 1 FROM srcs s WHERE s.uploaded_at < TIMESTAMP '1996-01-01' AND s.engagement_id = f.engagement_id AND s.sha256 = f.sha256)""")
 oracle("source_preview", f"""SELECT source_row, voucher_id voucher_no, account_name ledger, CASE WHEN debit_paise = 0 THEN '' ELSE {inr('debit_paise')} END debit
-FROM lines WHERE ledger_id = 'ORD' AND source_row BETWEEN 5002 AND 5201""")
+FROM lines WHERE ledger_id = 'ORD' AND source_row BETWEEN 5002 AND 105001""")
 oracle("source_liveness", """
 SELECT engagement_id, count(*) FILTER (live) live, count(*) FILTER (NOT live) deleted, count(*) FILTER (NOT any_live) unreferenced
 FROM (SELECT *, bool_or(live) OVER (PARTITION BY sha256) any_live FROM (SELECT *, substr(id, 2)::BIGINT % 3 = 0 live FROM srcs)) GROUP BY 1""")
@@ -338,7 +338,7 @@ SELECT {_book.format(blank="''")}, strftime(posted_at, '%d-%m-%Y %H:%M') posted,
 _states = ", ".join(f"count(*) FILTER (status = '{s}') {s}" for s in ["accept", "reject", "investigate", "adjust"])
 _tally = f"SELECT ledger_id, count(*) flagged, count(*) FILTER (band = 'high') high, count(*) FILTER (band = 'medium') medium, {{low}} {_states}, count(*) FILTER (status = 'not yet reviewed') outstanding FROM fdec GROUP BY 1"
 oracle("report_tally", _tally.format(low="count(*) FILTER (band = 'low') low,"))
-oracle("queue_counts", _tally.format(low=""))
+oracle("queue_counts", _tally.format(low="count(*) FILTER (band = 'low') low,"))
 
 # --- projection, conformance, filters -----------------------------------------------------
 

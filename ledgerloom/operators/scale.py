@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that one task is asked to handle before the key is split.
 HOT_ROWS = 2_000_000
-#: Most slices a single hot key is cut into.
-MAX_SLICES = 512
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -87,7 +85,7 @@ def ordered_slices(
     """
     target = target or HOT_ROWS
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
-    pieces = F.least(F.ceil(F.col("_n") / target), F.lit(MAX_SLICES))
+    pieces = F.ceil(F.col("_n") / target)
     sizes = sizes.withColumn("_stride", F.ceil(F.col("_n") / pieces)).drop("_n")
     spot = F.struct(*[F.col(c) for c in order])
     cuts = (

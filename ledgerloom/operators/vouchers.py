@@ -30,6 +30,12 @@ def accounts_where(condition: Column) -> Column:
     return F.sort_array(F.collect_set(F.when(condition, F.col("account_code"))))
 
 
+def set_key(*parts: Column) -> Column:
+    """128 bits of a hash of the parts written out: array bounds and nulls count, so [a, b] [c] and [a] [b, c] differ."""
+    named = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    return F.unhex(F.substring(F.sha2(F.to_json(named, {"ignoreNullFields": "false"}), 256), 1, 32))
+
+
 def voucher_view(lines: DataFrame) -> DataFrame:
     """One row per voucher. Sets of accounts are sorted arrays, so equality is stable."""
     firsts = ["voucher_date", "posted_at", "document_ref", "approved_by", "created_by", "voucher_type", "narration"]
@@ -51,8 +57,7 @@ def voucher_view(lines: DataFrame) -> DataFrame:
     return grouped.withColumns({
         "accounts": F.sort_array(F.array_union(*sides)),
         "primary_account": F.coalesce(F.try_element_at("debit_accounts", F.lit(1)), F.lit("")),
-        "shape_a": F.xxhash64(*shape),
-        "shape_b": F.xxhash64(F.lit("shape"), *shape),
+        "shape": set_key(*shape),
     })
 
 
@@ -90,8 +95,8 @@ PAIR = [LEDGER, "debit_account", "credit_account"]
 
 
 #: A shape is a preparer with a set of debit and a set of credit accounts. Joins and
-#: group-bys use its 128-bit hash, fixed-width columns, not the arrays.
-SHAPE = [LEDGER, "shape_a", "shape_b"]
+#: group-bys use its 128-bit key, a fixed-width column, not the arrays.
+SHAPE = [LEDGER, "shape"]
 SHAPE_PARTS = ["created_by", "debit_accounts", "credit_accounts"]
 
 

@@ -11,8 +11,6 @@ from ledgerloom.config import LEDGER
 from ledgerloom.sources.mapping import LedgerError
 
 FIRST_DATA_ROW = 2
-MAX_ROWS, MAX_BYTES = 2_000_000, 200 * 1024 * 1024
-HEAD_BYTES = 4096
 
 # What bytes 0x80-0x9F mean in Windows-1252, by position ("\x81" etc. stay).
 LATIN_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
@@ -22,13 +20,11 @@ WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """Per file: ``utf-16``, ``utf-8``, ``windows-1252`` or ``binary`` (refused), with its size.
 
-    The byte order mark and the null-byte check look at the head of the file, validity at
-    the whole file; files are read where they are, on the executors.
+    Null bytes and validity are looked for in the whole file; files are read where they are, on the executors.
     """
     files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, HEAD_BYTES)
     mark = F.hex(F.substring("content", 1, 2))
-    nulls = F.locate("\u0000", F.decode(head, "ISO-8859-1")) > 0
+    nulls = F.locate("\u0000", F.decode("content", "ISO-8859-1")) > 0
     encoding = (
         F.when(mark.isin("FFFE", "FEFF"), "utf-16")
         .when(nulls, "binary")
@@ -120,9 +116,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def intake_guards(
-    rows: DataFrame, size_bytes: Column | None = None, max_rows: int | None = MAX_ROWS, max_bytes: int | None = MAX_BYTES
+    rows: DataFrame, size_bytes: Column | None = None, max_rows: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """Expectations as a table ``(check, ok, value)``; a limit of ``None`` is switched off."""
+    """Expectations as a table ``(check, ok, value)``; limits are off unless given."""
     columns = len([c for c in rows.columns if c != "source_row"])
     n, size = F.col("n"), F.col("size")
     checks = [
@@ -137,9 +133,9 @@ def intake_guards(
 
 
 def preview(rows: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A page of a raw file by spreadsheet row (at most 200 rows: it is a page)."""
+    """A page of ``limit`` rows of a raw file, by spreadsheet row."""
     first = FIRST_DATA_ROW + offset
-    return rows.where(F.col("source_row").between(first, first + min(limit, 200) - 1))
+    return rows.where(F.col("source_row").between(first, first + limit - 1))
 
 
 def register_sources(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from ledgerloom.functions import dates
 from ledgerloom.operators.scale import ranked
 from ledgerloom.schema import ACCOUNT_GROUPS, TIME_FIDELITIES, VOUCHER_TYPES
 
-REPORTED_ERRORS = 500
 REQUIRED_TEXT = ["line_id", "voucher_id", "entity_id", "account_code", "account_name", "created_by"]
 
 
@@ -50,13 +49,12 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("problems") > 0)
 
 
-def error_report(checked: DataFrame, limit: int = REPORTED_ERRORS) -> DataFrame:
-    """The first ``limit`` rejected rows of each ledger for a person to read.
-
-    A report: every rejected row stays available in ``rejected``.
-    """
+def error_report(checked: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rejected rows of each ledger for a person to read: all, or the first ``limit``."""
     rows = rejected(checked).withColumn("row", F.coalesce(F.col("source_row"), F.col("line_number").cast("bigint")))
-    return ranked(rows, [LEDGER], ["row", "line_id"], "n").where(F.col("n") <= limit).select(
+    if limit is not None:
+        rows = ranked(rows, [LEDGER], ["row", "line_id"], "n").where(F.col("n") <= limit)
+    return rows.select(
         LEDGER, "row", "line_id", F.array_join("problems", "; ").alias("reason")
     )
 
