@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Day numbers a spreadsheet serial date may take, and the day they count from.
 SERIAL_LOW, SERIAL_HIGH, SERIAL_ORIGIN = 20_000, 80_000, "1899-12-30"
-MONTH_NAMES = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def fiscal_start_year(day: Column) -> Column:
@@ -44,43 +44,51 @@ def has_clock(stamp: Column) -> Column:
     return (F.hour(stamp) != 0) | (F.minute(stamp) != 0)
 
 
+def _day_first(low: Column) -> Column:
+    """Lower-case day-first text rewritten year first, one replacement after another; other text stays as it is."""
+    month = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.regexp_extract(low, r"^\d{1,2}[-/. ]([a-z]{3})", 1))
+    named = F.concat(
+        F.regexp_extract(low, r"^\d{1,2}", 0), F.lit("-"), month.cast("string"),
+        F.regexp_extract(low, r"^\d{1,2}[-/. ][a-z]{3,9}(.*)$", 1),
+    )
+    s = F.when(low.rlike(r"^\d{1,2}[-/. ][a-z]"), named).otherwise(low)
+    s = F.regexp_replace(s, r"^(\d{1,2})[-/. ](\d{1,2})[-/., ]+(7[6-9]|[89]\d)(?!\d)", "$1-$2-19$3")
+    s = F.regexp_replace(s, r"^(\d{1,2})[-/. ](\d{1,2})[-/., ]+(\d{2})(?!\d)", "$1-$2-20$3")
+    # Only one reading is a real date: the month comes first here.
+    s = F.regexp_replace(s, r"^(0?\d|1[0-2])[-/. ](1[3-9]|[2-9]\d)(?!\d)", "$2-$1")
+    s = F.regexp_replace(s, r"^(\d{1,2})[-/. ](\d{1,2})[-/., ]+(\d{4})[ t,]*", "$3-$2-$1 ")
+    return F.trim(F.regexp_replace(s, r"\s*[ap]m$", ""))
+
+
 def parse_ledger_date(text: Column) -> Column:
     """Text to TIMESTAMP_NTZ, each value on its own terms.
 
     Year-first text is read year-month-day, a bare number in the serial range is a
     spreadsheet day number, everything else is read day-first. Unreadable text is null.
+    A cheap look at the shape comes before every cast, because a failed cast is slow.
     """
     t = F.trim(text)
-    year_first = t.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}")
     iso = F.regexp_replace(t, "/", "-").try_cast("timestamp_ntz")
 
     number = t.try_cast("double")
-    serial = number.between(SERIAL_LOW, SERIAL_HIGH)
     serial_days = F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(number).cast("int"))
     serial_seconds = F.round((number - F.floor(number)) * 86400).cast("bigint")
     serial_stamp = serial_days.cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), serial_seconds.cast("decimal(18,6)")
     )
 
-    shape = r"(?i)^(\d{1,2})[-/. ](\d{1,2}|[a-z]{3,9})[-/., ]+(\d{4}|\d{2})(?:[ t,]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm)?)?$"
-    # One regular expression per value; the pieces are then picked from an array.
-    pieces = F.split(F.regexp_replace(t, shape, "$1;$2;$3;$4;$5;$6;$7"), ";")
-
-    def built(p: Column) -> Column:
-        number_at = lambda i: F.get(p, F.lit(i)).try_cast("int")
-        named = F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.lower(F.substring(F.get(p, F.lit(1)), 1, 3)))
-        first, second = number_at(0), F.coalesce(number_at(1), named.cast("int"))
-        swapped = (second > 12) & (first <= 12)  # only one reading is a real date
-        day, month = F.when(swapped, second).otherwise(first), F.when(swapped, first).otherwise(second)
-        short = number_at(2)
-        year = F.when(F.length(F.get(p, F.lit(2))) == 4, short).when(short <= 75, short + 2000).otherwise(short + 1900)
-        hour12, half = F.coalesce(number_at(3), F.lit(0)), F.lower(F.get(p, F.lit(6)))
-        twelve = F.pmod(hour12, F.lit(12))
-        hour = F.when(half == "pm", twelve + 12).when(half == "am", twelve).otherwise(hour12)
-        return F.format_string(
-            "%04d-%02d-%02d %02d:%02d:%02d", year, month, day, hour,
-            F.coalesce(number_at(4), F.lit(0)), F.coalesce(number_at(5), F.lit(0)),
-        ).try_cast("timestamp_ntz")
-
-    day_first = F.transform(F.array(pieces), built)[0]
-    return F.when(year_first, iso).when(serial, serial_stamp).when(F.size(pieces) == 7, day_first)
+    low = F.lower(t)
+    shape = r"^\d{1,2}[-/. ](?:\d{1,2}|[a-z]{3,9})[-/., ]+(?:\d{4}|\d{2})(?:[ t,]+\d{1,2}:\d{2}(?::\d{2})?\s*(?:[ap]m)?)?$"
+    stamp = _day_first(low).try_cast("timestamp_ntz")
+    hour = F.hour(stamp)
+    clock12 = F.pmod(hour, F.lit(12)) + F.when(low.endswith("pm"), 12).otherwise(0)
+    return (
+        F.when(t.rlike(r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"), iso)
+        .when(
+            t.rlike(r"^\+?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"),
+            F.when(number.between(SERIAL_LOW, SERIAL_HIGH), serial_stamp).otherwise(F.when(low.rlike(shape), stamp)),
+        )
+        .when(~low.rlike(shape), None)
+        .when(low.rlike("[ap]m$"), stamp + F.make_dt_interval(F.lit(0), clock12 - hour))
+        .otherwise(stamp)
+    )

@@ -26,6 +26,7 @@ MODEL_VERSION = "hash-isolation-forest-1"
 TOP_FEATURES = 3
 SCORE_ROWS = 100_000
 
+# How each feature is spoken about.
 FEATURE_WORDS = {
     "log_amount": "the size of the amount",
     "line_count": "the number of lines",

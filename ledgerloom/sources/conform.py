@@ -189,6 +189,7 @@ def with_file_fidelity(lines: DataFrame, has_column: bool) -> DataFrame:
     ).drop("ledger_rows")
 
 
+# What a missing column means for the review.
 NOTES = {
     "document_ref": "This file has no supporting-document column, so every entry looks undocumented. "
     "Evidence findings will not be meaningful until one is supplied.",
