@@ -8,30 +8,85 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.config import LEDGER
+from ledgerloom.operators.scale import stage
 from ledgerloom.sources.mapping import LedgerError
 
 FIRST_DATA_ROW = 2
+BINARY = "It does not look like a CSV file: it contains binary data."
+UNCLOSED = "A quoted field is never closed."
 
 # What bytes 0x80-0x9F mean in Windows-1252, by position ("\x81" etc. stay).
 LATIN_CONTROLS = "".join(chr(c) for c in range(0x80, 0xA0))
 WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
 
+def physical_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of text files as bytes with file, file block and position in it, written to the shared folder.
+
+    Written once, because positions must not change when a later job splits the files otherwise.
+    UTF-16 has line ends the splitter cannot see: such a file is decoded whole by one task and must be of upload size.
+    """
+    lines = stage(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("bytes"),
+        )
+    )
+    wide = (
+        lines.where(F.col("block") == 0).groupBy("file").agg(F.min_by("bytes", "at").alias("head"))
+        .where(F.hex(F.substring("head", 1, 2)).isin("FFFE", "FEFF")).select("file")
+    )
+    if wide.isEmpty():
+        return lines.withColumn("wide", F.lit(False))
+    whole = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "content")
+    body = F.regexp_replace(F.decode("content", "UTF-16"), r"\r?\n$", "")
+    decoded = whole.join(wide, "file", "left_semi").select("file", F.posexplode(F.split(body, r"\r?\n")).alias("at", "value"))
+    decoded = decoded.select(
+        "file", F.lit(0).cast("bigint").alias("block"), F.col("at").cast("bigint"), F.encode("value", "UTF-8").alias("bytes"), F.lit(True).alias("wide")
+    )
+    return lines.join(wide, "file", "left_anti").withColumn("wide", F.lit(False)).unionByName(decoded)
+
+
+def ends_inside(line: Column, inside: bool) -> Column:
+    """Whether a line ends within a quoted field, if it starts within one (``inside``) or not."""
+    closed = '"[^"]*+(?:""[^"]*+)*+"'
+    if inside:
+        first = F.regexp_replace(line, '^[^"]*+(?:""[^"]*+)*+"', "x")
+        return (first == line) | ends_inside(first, False)
+    return F.regexp_replace(line, f"(^|,){closed}", "$1x").rlike('(?:^|,)"')
+
+
+def file_blocks(lines: DataFrame) -> DataFrame:
+    """Per block of a file: lines before it, and of its file the encoding and whether quotes span lines."""
+    text = F.col("bytes").cast("string")
+    counted = lines.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.bool_or("wide").alias("wide"),
+        F.bool_and(F.is_valid_utf8(text)).alias("valid"),
+        F.bool_or(F.locate("\u0000", F.decode("bytes", "ISO-8859-1")) > 0).alias("nulls"),
+        F.bool_or(F.contains(text, F.lit('"')) & ends_inside(text, False)).alias("spans"),
+    )
+    whole = Window.partitionBy("file")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    encoding = (
+        F.when(F.bool_or("wide").over(whole), "utf-16").when(F.bool_or("nulls").over(whole), "binary")
+        .when(F.bool_and("valid").over(whole), "utf-8").otherwise("windows-1252")
+    )
+    return counted.select(
+        "file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), encoding.alias("encoding"),
+        F.bool_or("spans").over(whole).alias("spans"),
+    )
+
+
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """Per file: ``utf-16``, ``utf-8``, ``windows-1252`` or ``binary`` (refused), with its size.
 
-    Null bytes and validity are looked for in the whole file; files are read where they are, on the executors.
+    Null bytes and validity are looked for in every line, in file blocks; contents are not gathered.
     """
-    files = spark.read.format("binaryFile").load(path)
-    mark = F.hex(F.substring("content", 1, 2))
-    nulls = F.locate("\u0000", F.decode("content", "ISO-8859-1")) > 0
-    encoding = (
-        F.when(mark.isin("FFFE", "FEFF"), "utf-16")
-        .when(nulls, "binary")
-        .when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8")
-        .otherwise("windows-1252")
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "path", "length")
+    known = file_blocks(physical_lines(spark, path)).select("file", "encoding").distinct()
+    return files.join(known, "file", "left").select(
+        "path", F.col("length").alias("size_bytes"), F.coalesce("encoding", F.lit("utf-8")).alias("encoding")
     )
-    return files.select("path", F.col("length").alias("size_bytes"), encoding.alias("encoding"))
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -39,40 +94,90 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def numbered_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of UTF-8 files with their row number in the file, blank lines included.
+def folded(lines: DataFrame) -> DataFrame:
+    """Lines of files in which quoted fields hold line breaks, as whole records: ``file, source_row, value, open``.
 
-    Each file block numbers its own lines, a running count over the (few) blocks of a file
-    gives the offset: no file passes through one task.
+    What a line does to "within quotes" is one of four: nothing, the opposite, always out, always in. A running
+    count inside each block and one over the blocks give the state at every line, so no file passes through one task.
+    ``open`` marks the file's records if its last quote is never closed.
     """
-    lines = spark.read.text(path).select(
-        F.col("value"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_at"),
+    out, within = ends_inside(F.col("value"), False), ends_inside(F.col("value"), True)
+    fixed = F.when(out == within, out.cast("int"))
+    flip = F.when(out & ~within, 1).otherwise(0)
+    block = Window.partitionBy("file", "block").orderBy("at")
+    marked = lines.withColumn("fixed", fixed).withColumn("flips", F.sum(flip).over(block))
+
+    def latest(order: Window) -> tuple[Column, Column]:
+        """The last fixed state so far and the flips counted up to it."""
+        last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "flips")), ignorenulls=True).over(order)
+        return last["fixed"], F.coalesce(last["flips"], F.lit(0))
+
+    base, since = latest(block)
+    inner = marked.withColumn("base", base).withColumn("turns", F.col("flips") - since).select(
+        "file", "block", "at", "value", "base", "turns"
+    )
+    ends = inner.groupBy("file", "block").agg(
+        F.max_by("base", "at").alias("fixed"), F.max_by("turns", "at").alias("turns")
+    )
+    # A block's own turns count from its fixed state, if it has one, so they join the running count before or after it.
+    along = Window.partitionBy("file").orderBy("block")
+    chain = ends.withColumn("all", F.sum("turns").over(along)).withColumn("until", F.col("all") - F.when(F.col("fixed").isNotNull(), F.col("turns")).otherwise(0))
+    last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "until")), ignorenulls=True).over(along)
+    state = F.pmod(F.coalesce(last["fixed"], F.lit(0)) + F.col("all") - F.coalesce(last["until"], F.lit(0)), F.lit(2))
+    chain = chain.withColumn("end", state)
+    chain = chain.select(
+        "file", "block", F.coalesce(F.lag("end").over(along), F.lit(0)).alias("enter"),
+        (F.max_by("end", "block").over(Window.partitionBy("file")) == 1).alias("open"),
     )
-    inside = Window.partitionBy("file", "block").orderBy("_at")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (
-        lines.withColumn("_i", F.row_number().over(inside))
-        .join(offsets, ["file", "block"])
-        .select("file", (F.col("_off") + F.col("_i")).alias("source_row"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    known = inner.join(stage(chain), ["file", "block"])
+    after = F.pmod(F.coalesce("base", "enter") + F.col("turns"), F.lit(2))
+    begun = known.withColumn("starts", (F.coalesce(F.lag(after).over(block), F.col("enter")) == 0).cast("int"))
+    begun = stage(begun.withColumn("record", F.sum("starts").over(block)).drop("base", "turns", "enter", "starts"))
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = begun.groupBy("file", "block").agg(F.max("record").alias("n"))
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    numbered = begun.join(stage(offsets), ["file", "block"]).withColumn("source_row", F.col("offset") + F.col("record"))
+    # An open file is refused: its lines stay apart, so that no group grows to the end of the file.
+    apart = F.when(F.col("open"), F.struct("block", "at"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    return numbered.groupBy("file", "source_row", apart.alias("apart")).agg(
+        F.array_join(parts["value"], "\n").alias("value"), F.bool_or("open").alias("open")
+    ).drop("apart")
+
+
+def csv_records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """CSV records as text, ``file, source_row, value``, and the files refused, ``file, reason``.
+
+    ``source_row`` is the row a spreadsheet shows: blank lines count, a record with line breaks in quotes is one
+    row (breaks become ``\\n``). Each file is read in the encoding that fits it. Text is shuffled only for files
+    whose quotes span lines.
+    """
+    lines = physical_lines(spark, path)
+    blocks = stage(file_blocks(lines))
+    latin = F.translate(F.decode("bytes", "ISO-8859-1"), LATIN_CONTROLS, WINDOWS_1252)
+    text = F.when(F.col("encoding") == "windows-1252", latin).otherwise(F.col("bytes").cast("string"))
+    row = F.col("offset") + F.col("at") - F.col("first") + 1
+    known = (
+        lines.join(blocks.where(F.col("encoding") != "binary"), ["file", "block"])
+        .withColumn("row", row)
+        .withColumn("value", F.when(F.col("row") == 1, F.regexp_replace(text, "^\ufeff", "")).otherwise(text))
     )
+    plain = known.where(~F.col("spans")).select("file", F.col("row").alias("source_row"), "value")
+    refused = blocks.where(F.col("encoding") == "binary").select("file", F.lit(BINARY).alias("reason")).distinct()
+    if blocks.where(F.col("spans")).isEmpty():
+        return plain, refused
+    whole = stage(folded(known.where("spans").select("file", "block", "at", "value")))
+    open_files = whole.where("open").select("file", F.lit(UNCLOSED).alias("reason")).distinct()
+    return plain.unionByName(whole.where(~F.col("open")).drop("open")), refused.unionByName(open_files)
 
 
-def decoded_text(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    """Lines of files in another encoding: each (upload-sized) file is decoded by one task."""
-    files = spark.read.format("binaryFile").load(paths)
-    if encoding == "utf-16":
-        body = F.decode("content", "UTF-16")
-    else:
-        body = F.translate(F.decode("content", "ISO-8859-1"), LATIN_CONTROLS, WINDOWS_1252)
-    rows = F.posexplode(F.split(F.regexp_replace(body, r"\r?\n$", ""), r"\r?\n"))
-    return files.select(F.col("path").alias("file"), rows.alias("_p", "value")).select(
-        "file", (F.col("_p") + 1).cast("bigint").alias("source_row"), "value"
-    )
+def numbered_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``csv_records`` of files that must all be readable."""
+    records, refused = csv_records(spark, path)
+    first = refused.first()
+    if first:
+        raise LedgerError(f"{first['file']}: {first['reason']}")
+    return records
 
 
 def header_of(lines: DataFrame) -> list[str]:
@@ -98,18 +203,12 @@ def parse_rows(lines: DataFrame, headers: list[str], keep: list[Column] | None =
     )
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """A CSV ledger as text with ``source_row`` (header is row 1). One record per line."""
-    lines = numbered_text(spark, path) if encoding == "utf-8" else decoded_text(spark, [path], encoding)
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV ledger as text with ``source_row`` (header is row 1), in whichever encoding fits each file."""
+    lines = numbered_text(spark, path)
     return parse_rows(lines, header_of(lines))
 
 
-def read_csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV whose quoted fields hold line breaks; row numbers are not available here."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding=encoding)
-    return raw.toDF(*[c.strip() for c in raw.columns]).withColumn("source_row", F.lit(None).cast("bigint"))
-
-
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.parquet(path)
     return raw.toDF(*[c.strip() for c in raw.columns])

@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 
 import pytest
@@ -128,8 +129,40 @@ def test_encodings(spark, tmp_path):
     (tmp_path / "d.csv").write_bytes(b"PK\x00\x01")
     found = {r.path[-5:]: r.encoding for r in files.file_encodings(spark, str(tmp_path / "*.csv")).collect()}
     assert found == {"a.csv": "utf-8", "b.csv": "windows-1252", "c.csv": "utf-16", "d.csv": "binary"}
-    for name, enc in (("a.csv", "utf-8"), ("b.csv", "windows-1252"), ("c.csv", "utf-16")):
-        assert files.read_csv(spark, str(tmp_path / name), enc).first().Ledger == "Café €"
+    for name in ("a.csv", "b.csv", "c.csv"):
+        assert files.read_csv(spark, str(tmp_path / name)).first().Ledger == "Café €"
+    with pytest.raises(mapping.LedgerError, match="binary"):
+        files.read_csv(spark, str(tmp_path / "d.csv"))
+
+
+QUOTED = [
+    ['plain', 'a, "b"', ''], ['two\nlines', 'x', 'y'], ['', '', ''], ['"', '\n"\n', 'z'], ['12 pipe', 'three\n\nlines, "q"', '9'],
+    ['end', 'of', 'file\n'],
+]
+
+
+@pytest.mark.parametrize("split", ["40", "134217728"])
+def test_line_breaks_in_quotes_stay_in_their_record(spark, tmp_path, split):
+    path = tmp_path / "quoted.csv"
+    with path.open("w", newline="") as f:
+        writer = csv.writer(f, lineterminator="\n")
+        writer.writerows([["a", "b", "c"], *QUOTED * 20])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = files.read_csv(spark, str(path)).orderBy("source_row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.source_row for r in got] == list(range(2, 2 + 20 * len(QUOTED)))
+    assert [[r.a or "", r.b or "", r.c or ""] for r in got] == QUOTED * 20
+
+
+def test_a_quote_inside_a_plain_field_opens_nothing_and_an_unclosed_one_is_refused(spark, tmp_path):
+    (tmp_path / "inch.csv").write_text('a,b\n12" pipe,1\n8" pipe,2\n')
+    assert [r.b for r in files.read_csv(spark, str(tmp_path / "inch.csv")).orderBy("source_row").collect()] == ["1", "2"]
+    (tmp_path / "open.csv").write_text('a,b\nx,"never\ny,2\n')
+    with pytest.raises(mapping.LedgerError, match="never closed"):
+        files.read_csv(spark, str(tmp_path / "open.csv"))
 
 
 def test_rules_reject_lines_without_stopping(spark, book):
