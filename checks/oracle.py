@@ -293,6 +293,17 @@ day = lambda c: f"{c}::DATE::VARCHAR {c}"
 
 _book = f"""voucher_id voucher_no, {dmy('voucher_date')} date, account_name ledger,
   CASE WHEN debit_paise = 0 THEN {{blank}} ELSE {inr('debit_paise')} END debit, CASE WHEN credit_paise = 0 THEN {{blank}} ELSE {inr('credit_paise')} END credit"""
+oracle(
+    "ingest_stream",
+    "SELECT ledger_id, count(*) lines, count(DISTINCT voucher_id) vouchers, count(*) line_ids, sum(debit_paise)::BIGINT debit_paise, "
+    "sum(credit_paise)::BIGINT credit_paise, 0 stray FROM lines GROUP BY 1",
+)
+oracle("source_row", "SELECT count(*) data_rows, 0 repeated, 0 gaps, 1 lo FROM lines WHERE ledger_id = 'EVT'")
+oracle(
+    "mapping_missing",
+    "SELECT requirement, false ok, (SELECT count(*) FROM lineitem) AS \"rows\" "
+    "FROM (VALUES ('account_name'), ('voucher_date'), ('voucher_id'), ('debit/credit or amount')) t(requirement)",
+)
 oracle("read_csv_text", f"SELECT {_book.format(blank='NULL')}, document_ref doc_ref, approved_by FROM lines WHERE ledger_id = 'ORD'")
 oracle("read_parquet_ledger", "SELECT l_returnflag, l_linestatus, count(*) n, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT paise FROM lineitem GROUP BY 1, 2")
 oracle("intake_guards", """

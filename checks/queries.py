@@ -252,11 +252,20 @@ def _(b):
     from ledgerloom.streaming.ingest import ingest_stream
 
     root = f"{shared_dir(b.spark)}/stream-{b.spark.sparkContext.applicationId}-{b.tag}"
-    drop = f"{root}/drop"
-    book = export.daybook(b.lines.where(F.col(LEDGER) == "EVT"))
-    book.coalesce(4).write.mode("overwrite").option("header", True).option("escape", '"').csv(drop)
-    ingest_stream(b.spark, drop + "/*.csv", f"{root}/out", fixtures.EVENT_THRESHOLDS, use_model=False).awaitTermination()
-    return b.spark.read.parquet(f"{root}/out/queue").groupBy("band").agg(F.count(F.lit(1)).alias("findings"))
+    drop, out = f"{root}/drop", f"{root}/out"
+    # Each ledger is a folder of as many part files as Spark writes.
+    book = export.daybook(b.lines, [F.col(LEDGER).alias("folder")])
+    book.write.mode("overwrite").partitionBy("folder").option("header", True).option("escape", '"').csv(drop)
+    ingest_stream(b.spark, drop + "/*/*.csv", out, fixtures.EVENT_THRESHOLDS, use_model=False, by="folder").awaitTermination()
+    lines, queue = b.spark.read.parquet(f"{out}/lines"), b.spark.read.parquet(f"{out}/queue")
+    stray = queue.join(lines, KEY, "left_anti").groupBy(LEDGER).agg(F.count(F.lit(1)).alias("stray"))
+    kept = lines.groupBy(LEDGER).agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("voucher_id").alias("vouchers"), F.countDistinct("voucher_id", "line_id").alias("line_ids"),
+        F.sum("debit_paise").alias("debit_paise"), F.sum("credit_paise").alias("credit_paise"),
+    )
+    return kept.join(stray, LEDGER, "left").withColumn("stray", F.coalesce("stray", F.lit(0))).withColumn(
+        LEDGER, F.replace(LEDGER, F.lit("folder="), F.lit(""))
+    )
 
 
 @query("write_ledger")
@@ -314,9 +323,12 @@ def _(b):
 
 @query("mapping_missing")
 def _(b):
-    found = mapping.map_headers(b.spark.read.parquet(f"{b.sf}/lineitem.parquet").columns)
-    n = b.spark.read.parquet(f"{b.sf}/lineitem.parquet").agg(F.count(F.lit(1)).alias("rows"))
-    return mapping.missing_table(b.spark, found).withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    items = b.spark.read.parquet(f"{b.sf}/lineitem.parquet")
+    needs = mapping.missing_table(b.spark, mapping.map_headers(items.columns))
+    # One count of the file, then one row per requirement.
+    counted = items.agg(F.count(F.lit(1)).alias("rows"))
+    each = counted.select("rows", F.explode(F.array(*[F.lit(r["requirement"]) for r in needs.collect()])).alias("requirement"))
+    return needs.join(each, "requirement")
 
 
 def text_lines(b: Book) -> DataFrame:
@@ -818,7 +830,13 @@ def _(b):
 @query("source_row")
 def _(b):
     rows = files.numbered_text(b.spark, dropped_daybook(b, "EVT") + "/*.csv")
-    return rows.groupBy(F.col("source_row") == 1).agg(F.count(F.lit(1)).alias("n"), F.min("source_row").alias("lo")).select("n", "lo")
+    per_file = rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("source_row").alias("numbers"), F.min("source_row").alias("lo"), F.max("source_row").alias("hi")
+    )
+    return per_file.agg(
+        F.sum(F.col("n") - 1).alias("data_rows"), F.sum(F.col("n") - F.col("numbers")).alias("repeated"),
+        F.sum(F.col("hi") - F.col("n")).alias("gaps"), F.min("lo").alias("lo"),
+    )
 
 
 # --- sorts, sets ----------------------------------------------------------------------

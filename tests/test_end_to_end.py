@@ -48,3 +48,21 @@ def test_stream_lands_files_once_and_refuses_what_is_no_ledger(spark, tmp_path):
     assert first == 400 and {r.ledger_id: r["count"] for r in lines.groupBy("ledger_id").count().collect()} == {"north": 400, "south": 200}
     assert {r.ledger_id for r in spark.read.parquet(f"{out}/queue").select("ledger_id").distinct().collect()} == {"north", "south"}
     assert spark.read.parquet(f"{out}/refused").count() == 1
+
+
+def test_stream_joins_part_files_and_late_files_of_a_ledger(spark, tmp_path):
+    """However many files bring a ledger, in however many batches, its lines and queue are the same."""
+    book = export.daybook(fixtures.event_lines(spark, SMALL)).toPandas().head(300)
+    got = {}
+    for name, batches in {"one": [[(0, 300)]], "parts": [[(0, 101), (101, 222)], [(222, 300)]]}.items():
+        drop, out = tmp_path / name / "north", str(tmp_path / f"out-{name}")
+        drop.mkdir(parents=True)
+        for i, batch in enumerate(batches):
+            for j, (lo, hi) in enumerate(batch):
+                book.iloc[lo:hi].to_csv(drop / f"part-{i}{j}.csv", index=False)
+            run = ingest_stream(spark, f"{tmp_path}/{name}/*", out, fixtures.EVENT_THRESHOLDS, use_model=False, by="folder")
+            run.awaitTermination()
+        lines = spark.read.parquet(f"{out}/lines").drop("source_row").orderBy("line_id").collect()
+        queue = spark.read.parquet(f"{out}/queue").select("voucher_id", "priority", "rank", "band").orderBy("rank").collect()
+        got[name] = (lines, queue, spark.read.parquet(f"{out}/sources").count())
+    assert got["one"][:2] == got["parts"][:2] and (got["one"][2], got["parts"][2]) == (1, 3)
