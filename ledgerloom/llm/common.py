@@ -66,16 +66,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def roots(labels, left, right):
-    """Smallest index reachable in a small graph held in arrays (one task's share): labels is arange(n)."""
+    """Labels of a small graph held in arrays (one task's share) after more edges: the smallest index reachable.
+
+    labels is arange(n), or what an earlier call gave: edges may come in any number of parts. What an edge
+    joins are the roots of its ends, so whatever hung on them before comes along.
+    """
     import numpy as np
 
     labels = labels.copy()
-    while len(left):
-        before = labels.copy()
-        low = np.minimum(labels[left], labels[right])
-        np.minimum.at(labels, left, low)
-        np.minimum.at(labels, right, low)
-        labels = labels[labels]
-        if (labels == before).all():
-            break
-    return labels
+    while True:
+        a, b = labels[left], labels[right]
+        apart = a != b
+        if not apart.any():
+            return labels
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]

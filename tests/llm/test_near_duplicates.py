@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from ledgerloom.llm import embed_dedup, simhash
-from ledgerloom.llm.common import components, table
+from ledgerloom.llm.common import components, roots, table
 
 from .conftest import SMALL
 
@@ -130,3 +130,35 @@ def test_blocks_lose_no_pair():
     got = {(i, j) for a, b in embed_dedup.near_pairs(x, x, x[:, :8], x[:, :8], 0.9, True, block=7) for i, j in zip(a.tolist(), b.tolist())}
     i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
     assert got == set(zip(i.tolist(), j.tolist()))
+
+
+def test_roots_of_edges_in_parts():
+    labels = np.arange(3)
+    for i, j in ((1, 2), (0, 2)):
+        labels = roots(labels, np.array([i]), np.array([j]))
+    assert labels.tolist() == [0, 0, 0]
+    draw = np.random.default_rng(5)
+    for size in (1, 7, 400):
+        edges = draw.integers(0, 500, (400, 2))
+        labels = np.arange(500)
+        for at in range(0, len(edges), size):
+            labels = roots(labels, edges[at : at + size, 0], edges[at : at + size, 1])
+        linked = {(max(e), min(e)) for e in edges.tolist()}
+        assert labels.tolist() == smallest(500, lambda i, j: (i, j) in linked)
+
+
+def test_chains_of_vectors_in_many_blocks(spark):
+    """Clusters whose members mostly link to their neighbours only: 3,000 vectors against brute force."""
+    draw = np.random.default_rng(8)
+    x = np.empty((3000, 12))
+    for i in range(len(x)):
+        x[i] = draw.normal(size=12) if i % 300 == 0 else x[i - 1] + 0.1 * draw.normal(size=12)
+        x[i] /= np.linalg.norm(x[i])
+    x = x[draw.permutation(len(x))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    near = x @ x.T >= 0.9
+    label = smallest(len(x), lambda i, j: near[i, j])
+    want = [(i, int(near[i].sum()) - 1, k, i == k) for i, k in enumerate(label)]
+    for interval in (512, 2048):
+        out = embed_dedup.near_duplicates(df, interval=interval).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
