@@ -56,15 +56,16 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return sum(1 << b for b in np.nonzero(2 * counts > n)[0].tolist())
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the 64-bit pattern as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) for every row, and its ``keys`` (longs); fp is the 64-bit pattern as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keys])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    shape = ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *keys))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keys).mapInArrow(run, shape)
 
 
 def gray_rank(bits: np.ndarray) -> np.ndarray:
@@ -168,22 +169,34 @@ def links(distinct: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFram
     return placed.repartition(tasks, "path", "lead").sortWithinPartitions("path", "lead", "fp").mapInArrow(search, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable by links."""
-    marked = stage(fingerprints(docs))
+def named_groups(marked: DataFrame) -> DataFrame:
+    """(fp, root, component_id) per fingerprint: root is the smallest fingerprint of its component, component_id the smallest doc_id."""
     named = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = stage(links(named.select("fp")))
     linked = components(edges).join(named, F.col("node") == F.col("fp")).select("node", "root", "least")
     whole = linked.groupBy("root").agg(F.min("least").alias("all_least"))
-    tops = stage(linked.join(whole, "root").select("node", "all_least"))
-    names = stage(named.join(tops, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("all_least", "least").alias("component_id")))
-    return marked.join(names, "fp", "left").select("doc_id", "fp", "component_id")
+    tops = stage(linked.join(whole, "root").select("node", "root", "all_least"))
+    return stage(named.join(tops, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("all_least", "least").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable by links."""
+    marked = stage(fingerprints(docs))
+    return marked.join(named_groups(marked), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: the row with the smallest doc_id of each component stays (one row, if repeated)."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"))
-    rows = held.join(kept, F.col("id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    rows = rows.groupBy("id").agg(F.first("row").alias("row"))
+    """docs without near-duplicates: one row of each component stays, the first by doc_id (nulls last), fingerprint and hash of the row.
+
+    A component is known by its smallest fingerprint, not by a doc_id: ids may be null or stand for several texts.
+    """
+    whole = [F.to_json(docs[c]) if "map<" in kind else docs[c] for c, kind in docs.dtypes]
+    # Null flags go in as well, since the hash passes over nulls; rows with the same two hashes are the same row.
+    mark = lambda i: F.xxhash64(F.lit(i), *[docs[c].isNull() for c in docs.columns], *whole)
+    marked = stage(fingerprints(docs.select("doc_id", "text", mark(1).alias("h1"), mark(2).alias("h2")), keys=("h1", "h2")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h1", "h2")
+    firsts = marked.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = firsts.join(named_groups(marked), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2")
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mark(1).alias("h1"), mark(2).alias("h2"))
+    rows = held.join(stage(kept), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("row").alias("row"))
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -162,3 +162,20 @@ def test_chains_of_vectors_in_many_blocks(spark):
     for interval in (512, 2048):
         out = embed_dedup.near_duplicates(df, interval=interval).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out) == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null doc_ids, one doc_id for several texts, and a copy that shares its id with another text."""
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcde")
+    rows = [
+        (None, a, "x"), (None, b, "x"), (None, b, "x"), (None, c, "x"), (7, c, "x"), (5, d, "x"), (5, e, "x"), (5, e, "y"), (3, d, "x"),
+        (None, None, "z"), (None, "", "z"), (None, "z", None),
+    ]
+    shape = "doc_id bigint, text string, source string"
+    want = None
+    for order in (rows, rows[::-1]):
+        out = [tuple(r) for r in simhash.one_of_each(spark.createDataFrame(order, shape).repartition(3)).collect()]
+        keyed = sorted(("" if t is None else t, -1 if i is None else i) for i, t, _ in out)
+        assert keyed == sorted([(a, -1), (b, -1), (c, 7), (d, 3), (e, 5), ("", -1), ("z", -1)])
+        assert want is None or sorted(out, key=str) == want
+        want = sorted(out, key=str)
