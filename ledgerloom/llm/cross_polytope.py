@@ -8,7 +8,8 @@ product of the original vectors in double precision.
 
 The number of probes is fitted on SAMPLE queries: their exact neighbours among all rows are found by
 one scan, and the probes are set so that TARGET of them share a probed bucket. All rows are indexed.
-A bucket with more than SLICE vectors is cut into slices that are searched side by side.
+A bucket with more than SLICE vectors, or asked by more than SLICE queries, is cut into slices on either
+side; every pair of slices is searched by itself, a block of queries at a time.
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite
 components take no part; a null vec_id is a candidate but no query; repeated rows are candidates of
@@ -29,6 +30,8 @@ from ledgerloom.operators.scale import stage
 
 TABLES = 8
 SLICE = 2048
+#: Queries that a task multiplies at a time.
+QUERY_BLOCK = 256
 NEAREST = 20
 #: Queries that the number of probes is fitted on, and the share of neighbours it is to reach.
 SAMPLE = 128
@@ -76,10 +79,12 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def top_rows(query: np.ndarray, rid: np.ndarray, vec: np.ndarray, x: np.ndarray, query_rid: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, positions, exact scores): the k nearest of x to every query, its own row left out."""
-    rough = query.astype(np.float32) @ x.astype(np.float32).T
+    fast = x.astype(np.float32).T
     slack = 1e-5 * (np.abs(query).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] + 1e-30)
     for i in range(len(query)):
-        row = rough[i]
+        if i % QUERY_BLOCK == 0:
+            rough = query[i : i + QUERY_BLOCK].astype(np.float32) @ fast
+        row = rough[i % QUERY_BLOCK]
         if len(row) > k + 1:
             at = np.nonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1] - slack)[0]
         else:
@@ -125,6 +130,18 @@ def fit_probes(sound: DataFrame, queries: DataFrame, longest: float, flips: np.n
     return int(np.quantile(least, target, method="higher")) + 1
 
 
+def sliced(filed: DataFrame, probing: DataFrame, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates and queries of each probed (bucket, slice, ask_slice): about ``slice_rows`` on either side, every pair meets once."""
+    parts = lambda df, name: df.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias(name))
+    sizes = stage(parts(filed, "slices").join(parts(probing, "ask_slices"), "bucket"))
+    own = lambda name: F.pmod(F.xxhash64("rid"), F.col(name)).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    spread = lambda df: df.select("rid", "vec_id", "v", F.explode("buckets").alias("bucket")).join(sizes, "bucket")
+    base = spread(filed).select("bucket", own("slices").alias("slice"), each("ask_slices").alias("ask_slice"), "rid", "vec_id", "v")
+    asking = spread(probing).select("bucket", each("slices").alias("slice"), own("ask_slices").alias("ask_slice"), "rid", "vec_id", "v")
+    return base, asking
+
+
 def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, tables: int = TABLES, slice_rows: int = SLICE, sample: int = SAMPLE, target: float = TARGET, seed: int = SEED) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest found for every row whose vec_id is divisible by ``every``."""
     spark = embeddings.sparkSession
@@ -163,11 +180,8 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
 
     columns = "rid bigint, vec_id bigint, v array<double>"
     filed = stage(sound.select("rid", "vec_id", "v").mapInArrow(hashes(False), f"{columns}, buckets array<int>"))
-    sizes = stage(filed.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices")))
-    slot = F.pmod(F.xxhash64("rid"), F.col("slices")).cast("int")
-    base = filed.select("rid", "vec_id", "v", F.explode("buckets").alias("bucket")).join(sizes, "bucket").select("bucket", slot.alias("slice"), "rid", "vec_id", "v")
-    probing = asked.select("rid", "vec_id", "v").mapInArrow(hashes(True), f"{columns}, buckets array<int>")
-    probing = probing.select("rid", "vec_id", "v", F.explode("buckets").alias("bucket")).join(sizes, "bucket").select("bucket", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), "rid", "vec_id", "v")
+    probing = stage(asked.select("rid", "vec_id", "v").mapInArrow(hashes(True), f"{columns}, buckets array<int>"))
+    base, probing = sliced(filed, probing, slice_rows)
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = {"rid": pa.int64(), "query_id": pa.int64(), "found": pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("rid", pa.int64())]))}
@@ -187,7 +201,7 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
         inner = pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else np.empty(0)), pa.array(vec[at]), pa.array(rid[at])], names=["score", "vec_id", "rid"])
         return pa.table({"rid": pa.array(query_rid[which], pa.int64()), "query_id": pa.array(names[which], pa.int64()), "found": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)})
 
-    hits = base.groupBy("bucket", "slice").cogroup(probing.groupBy("bucket", "slice")).applyInArrow(
+    hits = base.groupBy("bucket", "slice", "ask_slice").cogroup(probing.groupBy("bucket", "slice", "ask_slice")).applyInArrow(
         rerank, "rid bigint, query_id bigint, found array<struct<score double, vec_id bigint, rid bigint>>"
     )
     def merge(group: pa.Table) -> pa.Table:

@@ -121,6 +121,28 @@ def test_search_of_odd_vectors(spark):
     assert cross_polytope.search(df.limit(0)).count() == 0
 
 
+def test_no_group_or_product_holds_all_queries(spark):
+    """Products of bounded blocks, and slices on both sides of a bucket of copies that meet in every pair once."""
+    draw = np.random.default_rng(4)
+    query, x = draw.normal(size=(700, 8)), draw.normal(size=(300, 8))
+    plain = [np.lexsort((np.arange(300), -(x * q).sum(1)))[:5].tolist() for q in query]
+    seen = []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            seen.append(len(self))
+            return np.asarray(self) @ np.asarray(other)
+
+    got = cross_polytope.top_rows(query.view(Watched), np.arange(300), np.arange(300), x, np.full(700, -1), 5)
+    assert [at.tolist() for _, at, _ in got] == plain and sum(seen) == 700 and max(seen) <= 256
+    copies = spark.range(1000).selectExpr("id as rid", "id as vec_id", "array(1.0D, 0.5D) as v", "array(3, 40) as buckets")
+    base, asking = cross_polytope.sliced(copies, copies.where("rid < 600"), 100)
+    groups = ["bucket", "slice", "ask_slice"]
+    assert max(r[0] for df in (base, asking) for r in df.groupBy(groups).count().select("count").collect()) < 200
+    pairs = base.join(asking.withColumnRenamed("rid", "asked"), groups).groupBy("bucket").agg(F.count("*"), F.count_distinct("rid", "asked"))
+    assert sorted(map(tuple, pairs.collect())) == [(3, 600_000, 600_000), (40, 600_000, 600_000)]
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(cross_polytope.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
