@@ -8,6 +8,7 @@ product of the original vectors in double precision.
 
 The number of probes is fitted on SAMPLE queries: their exact neighbours among all rows are found by
 one scan, and the probes are set so that TARGET of them share a probed bucket. All rows are indexed.
+A query that found fewer than the nearest that are due asks again with twice the probes, up to all buckets.
 A bucket with more than SLICE vectors, or asked by more than SLICE queries, is cut into slices on either
 side; every pair of slices is searched by itself, a block of queries at a time.
 
@@ -147,7 +148,7 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
     spark = embeddings.sparkSession
     shape = "query_id bigint, rank int, vec_id bigint, score double"
     sound = stage(usable(numbered(embeddings)))
-    head = sound.agg(F.max(F.size("v")).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
+    head = sound.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
     if head["n"] is None:
         return spark.createDataFrame([], shape)
     longest = float(np.sqrt(head["square"])) * (1 + 1e-12)
@@ -156,7 +157,7 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
     asked = sound.where(F.col("vec_id") % every == 0)
     probes = fit_probes(sound, asked, longest, flips, nearest, sample, target)
 
-    def hashes(query: bool):
+    def hashes(query: bool, probes: int = 1, tables: int = tables):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = matrix(batch.column(2))
@@ -180,8 +181,6 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
 
     columns = "rid bigint, vec_id bigint, v array<double>"
     filed = stage(sound.select("rid", "vec_id", "v").mapInArrow(hashes(False), f"{columns}, buckets array<int>"))
-    probing = stage(asked.select("rid", "vec_id", "v").mapInArrow(hashes(True), f"{columns}, buckets array<int>"))
-    base, probing = sliced(filed, probing, slice_rows)
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = {"rid": pa.int64(), "query_id": pa.int64(), "found": pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64()), ("rid", pa.int64())]))}
@@ -201,9 +200,6 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
         inner = pa.StructArray.from_arrays([pa.array(np.concatenate(scores) if scores else np.empty(0)), pa.array(vec[at]), pa.array(rid[at])], names=["score", "vec_id", "rid"])
         return pa.table({"rid": pa.array(query_rid[which], pa.int64()), "query_id": pa.array(names[which], pa.int64()), "found": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)})
 
-    hits = base.groupBy("bucket", "slice", "ask_slice").cogroup(probing.groupBy("bucket", "slice", "ask_slice")).applyInArrow(
-        rerank, "rid bigint, query_id bigint, found array<struct<score double, vec_id bigint, rid bigint>>"
-    )
     def merge(group: pa.Table) -> pa.Table:
         """One query: tables x probes x slices lists of ``nearest``; a row found in several tables has one exact score."""
         found = group.column("found").combine_chunks().flatten()
@@ -212,6 +208,26 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
         order = np.lexsort((rid, vec, -score))[:nearest]
         vec = pa.array(vec[order], mask=vec[order] == 2**63 - 1)
         query = pa.array(np.full(len(order), group.column("query_id")[0].as_py()), pa.int64())
-        return pa.table({"query_id": query, "rank": pa.array(np.arange(1, len(order) + 1), pa.int32()), "vec_id": vec, "score": pa.array(score[order])})
-
-    return hits.groupBy("rid").applyInArrow(merge, shape)
+        return pa.table({"rid": pa.array(np.full(len(order), group.column("rid")[0].as_py()), pa.int64()), "query_id": query, "rank": pa.array(np.arange(1, len(order) + 1), pa.int32()), "vec_id": vec, "score": pa.array(score[order])})
+
+    def found(asked: DataFrame, probes: int, tables: int) -> DataFrame:
+        probing = stage(asked.select("rid", "vec_id", "v").mapInArrow(hashes(True, probes, tables), f"{columns}, buckets array<int>"))
+        base, probing = sliced(filed, probing, slice_rows)
+        hits = base.groupBy("bucket", "slice", "ask_slice").cogroup(probing.groupBy("bucket", "slice", "ask_slice")).applyInArrow(
+            rerank, "rid bigint, query_id bigint, found array<struct<score double, vec_id bigint, rid bigint>>"
+        )
+        return stage(hits.groupBy("rid").applyInArrow(merge, f"rid bigint, {shape}"))
+
+    due, out = min(nearest, head["rows"] - 1), spark.createDataFrame([], shape)
+    while True:
+        every_bucket = probes >= 2 * dims  # one table then holds each candidate once
+        got = found(asked, min(probes, 2 * dims), 1 if every_bucket else tables)
+        if every_bucket:
+            break
+        counts = got.groupBy("rid").agg(F.max("rank").alias("found"))
+        short = stage(asked.join(counts, "rid", "left").where(F.coalesce("found", F.lit(0)) < due).select("rid", "vec_id", "v"))
+        if short.isEmpty():
+            break
+        out = out.unionByName(got.join(short.select("rid"), "rid", "left_anti").drop("rid"))
+        asked, probes = short, 2 * probes
+    return out.unionByName(got.drop("rid"))

@@ -121,6 +121,19 @@ def test_search_of_odd_vectors(spark):
     assert cross_polytope.search(df.limit(0)).count() == 0
 
 
+def test_every_query_gets_all_that_is_due(spark):
+    """Few vectors, and queries far off a large group of copies that the probes are fitted on."""
+    draw = np.random.default_rng(6)
+    few = [(20 * i, v) for i, v in enumerate(draw.normal(size=(15, 16)).tolist())]
+    copies = [(20 * i, [1.0] + [0.0] * 15) for i in range(160)]
+    lone = [(20 * (1000 + i), v) for i, v in enumerate(draw.normal(size=(12, 16)).tolist())]
+    for rows in (few, copies + lone, few[:1]):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        out = cross_polytope.search(df).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("top"), F.count_distinct("vec_id").alias("ids")).collect()
+        due = min(20, len(rows) - 1)
+        assert {tuple(r) for r in out} == ({(i, due, due, due) for i, _ in rows} if due else set())
+
+
 def test_no_group_or_product_holds_all_queries(spark):
     """Products of bounded blocks, and slices on both sides of a bucket of copies that meet in every pair once."""
     draw = np.random.default_rng(4)
