@@ -32,6 +32,11 @@ OUTSIDE_WORDS = frozenset(
     "header masthead footer sidebar aside widget related recommended comment comments disqus respond replies reply cookie cookies consent notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social toolbar pagination pager skip hidden contentinfo complementary search".split()
 )
+#: What may stand beside them in one name: sidebar-left, footer_links, main-nav, ad-slot-2; not has-sidebar or related-work.
+BESIDE_WORDS = frozenset(
+    "left right top bottom site main global primary secondary mobile desktop link links list item items box container wrapper inner outer "
+    "area section bar block slot unit form button buttons icons posts articles content text".split()
+)
 #: Elements that stay in the line they stand in.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q s samp small span strike strong sub sup time tt u var wbr".split())
 ARTICLE = frozenset(("article", "main"))
@@ -39,42 +44,53 @@ ARTICLE = frozenset(("article", "main"))
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+def names_outside(name: str) -> bool:
+    """Whether a whole class, id or role name says so: outside words with nothing but places and numbers beside them."""
+    words = [w for w in name.replace("_", "-").split("-") if w]
+    return any(w in OUTSIDE_WORDS for w in words) and all(w in OUTSIDE_WORDS or w in BESIDE_WORDS or w.isdigit() for w in words)
+
+
 class Lines(HTMLParser):
-    """Collects [text, outside, in_article] per block."""
+    """Collects (text, outside by tag, elements outside by name, article) per block, the last two as numbers of elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.out = self.inside = 0
-        self.lines: list[tuple[str, bool, bool]] = []
+        self.open: list[tuple[str, int]] = []  # 1: outside by tag, 2: by name
+        self.out = self.count = 0
+        self.named: list[int] = []
+        self.articles: list[int] = []
+        self.around: dict[int, tuple[int, ...]] = {}  # elements outside by name around each article
+        self.lines: list[tuple[str, bool, tuple[int, ...], int]] = []
         self.parts: list[str] = []
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            self.lines.append((text, self.out > 0, self.inside > 0))
+            self.lines.append((text, self.out > 0, tuple(self.named), self.articles[-1] if self.articles else 0))
 
-    def is_outside(self, tag: str, attrs: list) -> bool:
+    def is_outside(self, tag: str, attrs: list) -> int:
         if tag in OUTSIDE:
-            return True
+            return 1
         if tag == "header":  # a heading inside the article belongs to it
-            return not self.inside
+            return int(not self.articles)
         if tag in ("html", "body", "article", "main"):
-            return False
+            return 0
+        if any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs):
+            return 1
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                for word in value.lower().replace("_", " ").replace("-", " ").split():
-                    if word in OUTSIDE_WORDS and not (word == "header" and self.inside):
-                        return True
-            elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-        return False
+                if any(names_outside(n) and not (n == "header" and self.articles) for n in value.lower().split()):
+                    return 2
+        return 0
 
     def shut(self) -> None:
         tag, outside = self.open.pop()
-        self.out -= outside
-        self.inside -= tag in ARTICLE
+        self.out -= outside == 1
+        if outside == 2:
+            self.named.pop()
+        if tag in ARTICLE:
+            self.articles.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -95,8 +111,13 @@ class Lines(HTMLParser):
         if outside and tag in INLINE:
             self.end_line()
         self.open.append((tag, outside))
-        self.out += outside
-        self.inside += tag in ARTICLE
+        self.out += outside == 1
+        self.count += 1
+        if outside == 2:
+            self.named.append(self.count)
+        if tag in ARTICLE:
+            self.articles.append(self.count)
+            self.around[self.count] = tuple(self.named)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in INLINE:
@@ -122,11 +143,21 @@ class Lines(HTMLParser):
 
 
 def lines_of(html: str) -> list[tuple[str, bool, bool]]:
+    """(text, outside, in_article) per block. A name puts no element outside that holds the article with most text, or the longest block."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return parser.lines
+    own: dict[int, int] = {}
+    for text, out, _, article in parser.lines:
+        if article and not out:
+            own[article] = own.get(article, 0) + len(text)
+    spared = set(parser.around[max(own, key=own.get)]) if own else set()
+    found = lambda: [(text, out or not spared.issuperset(named), article > 0) for text, out, named, article in parser.lines]
+    if not any(inside and not out for _, out, inside in found()):
+        text = [(len(t), named) for t, out, named, article in parser.lines if not out and (article or not own)]
+        spared.update(max(text, key=lambda x: x[0])[1] if text else ())
+    return found()
 
 
 def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:

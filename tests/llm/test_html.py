@@ -29,6 +29,16 @@ def test_broken_pages():
     assert len(html_extract.main_text("<article><p>" + "w " * 200000)) == 399999
 
 
+def test_names_around_and_inside_the_article():
+    for name in ("class='page has-sidebar'", "id='content-with-sidebar'", "class=no-comments", "class='sidebar-left'", "id=search"):
+        assert html_extract.main_text(f"<div {name}><article><p>Body</p></article><div class=sidebar-left>Side</div></div>") in ("Body",), name
+        assert html_extract.main_text(f"<div {name}><p>{'body ' * 40}</p><p>Short</p></div>").endswith("Short"), name
+    page = "<article><section class='related-work'>Work</section><p class='search-method'>Method</p><div class='ad-slot-2'>Buy</div><p class=advert_box>Buy</p></article>"
+    assert html_extract.main_text(page) == "Work\nMethod"
+    assert html_extract.main_text(f"<main><p>{'body ' * 9}</p><section id=comments><article>A reader</article></section></main>") == ("body " * 9).strip()
+    assert html_extract.main_text("<main><div class=sidebar-left><p>Only</p></div></main>") == "Only"
+
+
 def test_regions():
     assert html_extract.regions([0, 0, 0, 5, 0, 7, 0, 0, 0, 2], 3) == [(3, 6), (9, 10)]
     assert html_extract.regions([], 3) == [] and html_extract.regions([1], 3) == [(0, 1)]
