@@ -1,10 +1,11 @@
 """HTML extraction by line-block distribution.
 
-A page becomes lines, one per text block. A line inside a menu, header, footer, sidebar, notice, advert,
-form, script, style or comment section weighs nothing, and stands with enough empty lines around it to
-close a window. Sums of text lengths over sliding windows of lines then rise at surge points and fall to
-nothing at dive points; each surge and the next dive bound a region. Inside the page's article (or main)
-element every region is text; a page without one keeps the regions that hold a fair share of the text.
+A page becomes lines, one per text block. Sums of text lengths over sliding windows of all lines, menus and
+notices too, rise above a threshold at surge points and fall to it at dive points. On a page without an
+article (or main) element the body goes from the first surge to the last dive, and every line in it that is
+not part of a menu, header, footer, sidebar, notice, advert, form, script, style or comment section is text,
+however short. In a page with such an element its tags say where the body is: every line inside that is
+not part of one of those is text, and the windows decide nothing.
 
 Defined cases: a null or empty html gives an empty text; markup that ends or nests wrongly is read as far
 as it goes; repeated rows are answered each; an empty table gives an empty result.
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 
 #: Lines in a window.
 WINDOW = 3
-#: A region of a page without an article counts from this share of the largest region's length.
-SHARE = 0.2
+#: A window holds body text above this many characters (above half of the fullest window on pages with less text).
+THRESHOLD = 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
@@ -160,51 +161,44 @@ def lines_of(html: str) -> list[tuple[str, bool, bool]]:
     return found()
 
 
-def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) bounds of the runs of lines whose sliding sums stay above nothing."""
-    sums, total = [], 0
-    for i, n in enumerate(lengths):
-        total += n - (lengths[i - window] if i >= window else 0)
-        sums.append(total)
-    found, start = [], None
-    for i, s in enumerate(sums):
-        if s > 0 and start is None:
-            start = i
-        elif s == 0 and start is not None:
-            found.append((start, i - window + 1))
+def regions(lengths: list[int], window: int = WINDOW, threshold: float = 0) -> list[tuple[int, int]]:
+    """(surge, dive) bounds of the runs of lines in windows with sums above the threshold, without empty lines at their ends."""
+    found: list[tuple[int, int]] = []
+    total, start = 0, None
+    for i, n in enumerate([*lengths, None]):
+        total = 0 if n is None else total + n - (lengths[i - window] if i >= window else 0)
+        if n is not None and total > threshold:
+            start = max(0, i - window + 1, found[-1][1] if found else 0) if start is None else start
+        elif start is not None:
+            stop = i
+            while start < stop and not lengths[start]:
+                start += 1
+            while start < stop and not lengths[stop - 1]:
+                stop -= 1
+            if start < stop:
+                found.append((start, stop))
             start = None
-    if start is not None:
-        found.append((start, len(lengths)))
     return found
 
 
-def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(html: str | None, window: int = WINDOW, threshold: float = THRESHOLD) -> str:
     if not html:
         return ""
     lines = lines_of(html)
-    marked = any(inside and not outside for _, outside, inside in lines)
-    texts: list[str] = []
-    lengths: list[int] = []
-    for text, outside, inside in lines:
-        if outside or (marked and not inside):
-            texts += [""] * window
-            lengths += [0] * window
-        else:
-            texts.append(text)
-            lengths.append(len(text))
-    found = regions(lengths, window)
-    if not marked and found:
-        mass = [sum(lengths[a:b]) for a, b in found]
-        found = [r for r, m in zip(found, mass) if m >= share * max(mass)]
-    return "\n".join(t for a, b in found for t in texts[a:b] if t)
-
-
-def extract(pages: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    if any(inside and not outside for _, outside, inside in lines):
+        return "\n".join(text for text, outside, inside in lines if inside and not outside)
+    lengths = [len(text) for text, _, _ in lines]
+    fullest = max((sum(lengths[i : i + window]) for i in range(len(lengths))), default=0)
+    found = regions(lengths, window, min(threshold, fullest / 2))
+    return "\n".join(text for text, outside, _ in lines[found[0][0] : found[-1][1]] if not outside) if found else ""
+
+
+def extract(pages: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py(), window, share) for h in batch.column(2)]
+            texts = [main_text(h.as_py(), window, threshold) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )

@@ -29,6 +29,17 @@ def test_broken_pages():
     assert len(html_extract.main_text("<article><p>" + "w " * 200000)) == 399999
 
 
+def test_windows_bound_the_body_and_lose_nothing_in_it():
+    body = "".join(f"<p>{'long words of the text ' * 20}{i}</p>" for i in range(6))
+    closing = "<p>" + "c" * 80 + "</p>"
+    for between in ("<aside>Ad</aside>", "<form>Mail</form>", "<div class=ad>a</div><div class=ad>b</div><div class=ad>c</div>"):
+        page = f"<ul class=menu><li>a<li>b<li>c</ul><div>Up</div><ul class=menu><li>a<li>b<li>c</ul>{body}{between}{closing}<p>z</p><footer>x</footer>"
+        text = html_extract.main_text(page).split("\n")
+        assert len(text) == 8 and text[0].startswith("long words") and text[-2:] == ["c" * 80, "z"]
+    assert html_extract.main_text("".join(f"<p>p{i}</p>" for i in range(9))).count("\n") == 8
+    assert html_extract.regions([2, 2, 2, 50, 60, 1, 1, 1, 2, 0], 3, 40) == [(1, 7)]
+
+
 def test_names_around_and_inside_the_article():
     for name in ("class='page has-sidebar'", "id='content-with-sidebar'", "class=no-comments", "class='sidebar-left'", "id=search"):
         assert html_extract.main_text(f"<div {name}><article><p>Body</p></article><div class=sidebar-left>Side</div></div>") in ("Body",), name
