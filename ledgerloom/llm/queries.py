@@ -1,4 +1,4 @@
-"""The queries op1 to op10 of the training-data operators, each over its whole table."""
+"""The queries op1 to op13 of the training-data operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import attention_lm, cross_polytope, embed_dedup, html_extract, line_dedup, mixing, packing, simhash, toxicity, url_rules
+from ledgerloom.llm import (
+    attention_lm, cross_polytope, embed_dedup, html_extract, importance, lexical, line_dedup, linear_grouping, mixing, packing, simhash,
+    toxicity, url_rules,
+)
 from ledgerloom.llm.common import table
 
 
@@ -54,10 +57,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    return importance.resample(docs, target).drop("row")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.search(items, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear_grouping.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_html_extraction, op3_url_filters, op4_packing, op5_source_mixing,
         op6_simhash, op7_embedding_dedup, op8_toxicity, op9_nearest_neighbours, op10_lm_scoring,
+        op11_importance_resampling, op12_lexical_search, op13_best_fit_packing,
     )
 }
