@@ -1,7 +1,8 @@
 """An isolation forest per ledger, fitted and scored as Spark jobs.
 
-Fitting reads at most ``TREES * SAMPLE`` hash-drawn vouchers of a ledger, so one ledger's
-fit is one small task however large the ledger is. Scoring splits a ledger's vouchers by
+Each tree draws its own vouchers: those with the ``SAMPLE`` smallest hashes of (tree, voucher),
+by the same rule in a ledger of any size. One ledger's fit is one small task on at most
+``TREES * SAMPLE`` drawn rows. Scoring splits a ledger's vouchers by
 hash into groups of at most ``SCORE_ROWS`` and meets the forest in a cogroup, so a ledger
 holding most of the data is scored by as many tasks as it needs. Draws are by hash of the
 voucher id: results do not depend on partitioning.
@@ -80,21 +81,40 @@ def grow(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[i
     return nodes
 
 
-def fit_ledger(pool: pd.DataFrame) -> pd.DataFrame:
-    """All trees of one ledger, packed (about 1.5 MB), from its bounded pool of drawn vouchers."""
-    pool = pool.sort_values("voucher_id", kind="mergesort")
-    rows = pool[FEATURES].to_numpy(dtype="float64")
-    size = min(SAMPLE, len(rows))
+def draws(features: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """(features, tree): for each tree of a ledger the ``sample`` vouchers with the smallest hashes of (tree, voucher).
+
+    A hash above twice the wanted share cannot be among them (that fewer lie below it has odds of
+    1 to e^78, and would end the fit with an error), so about ``2 * trees * sample`` rows of a
+    ledger, whatever its size, are sorted. No row is told apart by the size of its ledger.
+    """
+    share = F.lit(2.0 * sample) / F.col("n_vouchers")
+    draw = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(SEED), t, *KEY), 11) / float(1 << 53)
+    candidates = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), draw(t).alias("draw"))),
+        lambda x: x["draw"] < share,
+    )
+    drawn = features.select(*KEY, "n_vouchers", *FEATURES, F.inline(candidates))
+    nth = Window.partitionBy(LEDGER, "tree").orderBy("draw", "voucher_id")
+    return drawn.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= sample)
+
+
+def fit_ledger(drawn: pd.DataFrame) -> pd.DataFrame:
+    """All trees of one ledger, packed (about 1.5 MB), from the rows that its trees drew."""
+    drawn = drawn.sort_values(["tree", "nth"], kind="mergesort")
+    rows = drawn[FEATURES].to_numpy(dtype="float64")
+    size = min(SAMPLE, int(drawn["n_vouchers"].iloc[0]))
+    if len(rows) != TREES * size:
+        raise ValueError(f"the trees drew {len(rows)} rows instead of {TREES * size}")
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     width = 2 ** (limit + 1)
     feature = np.full((TREES, width), -1, dtype="int8")
     cut, depth = np.zeros((TREES, width)), np.zeros((TREES, width), dtype="float32")
     for tree in range(TREES):
         rng = np.random.default_rng([SEED, tree])
-        drawn = rng.choice(len(rows), size=size, replace=False)
-        for node, on, at, leaf in grow(rows[drawn], rng, limit):
+        for node, on, at, leaf in grow(rows[tree * size : (tree + 1) * size], rng, limit):
             feature[tree, node], cut[tree, node], depth[tree, node] = on, at, leaf
-    one = {"ledger_id": pool["ledger_id"].iloc[0], "width": width, "feature": feature.tobytes(), "cut": cut.tobytes(), "depth": depth.tobytes()}
+    one = {"ledger_id": drawn["ledger_id"].iloc[0], "width": width, "feature": feature.tobytes(), "cut": cut.tobytes(), "depth": depth.tobytes()}
     return pd.DataFrame([one])
 
 
@@ -116,27 +136,18 @@ def score_rows(rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
             right = values[moving, here] > cut[spot]
             at[moving] = tree * width + 2 * (spot - tree * width) + right
         total += depth[at]
-    size = int(rows["fit_rows"].iloc[0]) if len(rows) else 2
+    size = int(rows["n_vouchers"].iloc[0]) if len(rows) else 2
     expected = path_credit(min(SAMPLE, max(size, 2)))
     score = np.power(2.0, -(total / TREES) / expected)
     return rows[["ledger_id", "voucher_id"]].assign(score=score)
 
 
-def training_pool(features: DataFrame) -> DataFrame:
-    """Vouchers a ledger's trees draw from: all of a small ledger, a hash-drawn share of a big one."""
-    unit = F.pmod(F.xxhash64(F.lit(SEED), *KEY), F.lit(1 << 30)) / float(1 << 30)
-    share = F.least(F.lit(1.0), F.lit(float(TREES * SAMPLE)) / F.col("n_vouchers"))
-    return features.where(unit < share)
-
-
 def forest_scores(features: DataFrame) -> DataFrame:
     """Isolation score per voucher."""
     features = stage(features)
-    forest = training_pool(features).groupBy(LEDGER).applyInPandas(fit_ledger, FOREST)
+    forest = draws(features).groupBy(LEDGER).applyInPandas(fit_ledger, FOREST)
     groups = F.ceil(F.col("n_vouchers") / SCORE_ROWS).cast("int")
-    rows = features.withColumn("part", F.pmod(F.xxhash64(*KEY), groups).cast("int")).withColumn(
-        "fit_rows", F.least(F.col("n_vouchers"), F.lit(TREES * SAMPLE))
-    )
+    rows = features.withColumn("part", F.pmod(F.xxhash64(*KEY), groups).cast("int"))
     sizes = features.groupBy(LEDGER).agg(F.max(groups).alias("parts"))
     copies = forest.join(sizes, LEDGER).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return (

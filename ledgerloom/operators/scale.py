@@ -1,7 +1,7 @@
 """Building blocks that stay correct and spread out when one key holds much of the data.
 
-Nothing here collects a group: hot groups are cut into slices or salted, and what is
-broadcast has a size bounded by (rows in the job / rows one task is asked to hold).
+Nothing here collects a group: hot groups are dealt by range or salted. Only the list of
+hot keys of a salted join is broadcast: at most rows in the job / HOT_ROWS of them.
 """
 
 from __future__ import annotations
@@ -73,52 +73,57 @@ def salted_join(
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def cut_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], target: int | None = None
+) -> tuple[DataFrame, bool]:
+    """df with ``_slice``, and whether any key was cut.
+
+    Keys with at most ``target`` rows stay whole (slice 0). The rows of all others are dealt by
+    range of (keys, order) to as many partitions as they need, and the partition is the slice:
+    sampled splitters, not a list of cut points that every row would have to be compared with.
+    The dealt rows are written once, so that a slice holds the same rows in every job after it.
+    """
+    target = target or HOT_ROWS
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
+    rows = sizes.agg(F.sum("_n")).first()[0]
+    if rows is None:
+        return df.withColumn("_slice", F.lit(0)), False
+    hot = stage(sizes.select(*keys))
+    ranged = df.join(hot, list(keys), "left_semi").repartitionByRange(-(-rows // target), *keys, *order)
+    dealt = stage(ranged.withColumn("_slice", F.spark_partition_id()))
+    whole = df.join(hot, list(keys), "left_anti").withColumn("_slice", F.lit(0))
+    return whole.unionByName(dealt), True
+
+
 def ordered_slices(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], *, target: int | None = None
 ) -> DataFrame:
     """Add ``_slice``: a cut of each hot key's rows into runs that follow ``order``.
 
-    Keys with at most ``target`` rows get slice 0. For the others the cut points are rows
-    drawn by hash of the ordering columns, so they do not depend on how the data is
-    partitioned. Only cut points are broadcast: about ``rows / target`` of them in total.
     ``order`` must be ascending and unique within a key.
     """
-    target = target or HOT_ROWS
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target)
-    pieces = F.ceil(F.col("_n") / target)
-    sizes = sizes.withColumn("_stride", F.ceil(F.col("_n") / pieces)).drop("_n")
-    spot = F.struct(*[F.col(c) for c in order])
-    cuts = (
-        df.select(*dict.fromkeys([*keys, *order]))
-        .join(F.broadcast(sizes), list(keys))
-        .where(F.pmod(F.xxhash64(*order), F.col("_stride")) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(spot)).alias("_cuts"))
-    )
-    before = F.filter("_cuts", lambda cut: cut < spot)
-    return (
-        df.join(F.broadcast(cuts), list(keys), "left")
-        .withColumn("_slice", F.coalesce(F.size(before), F.lit(0)))
-        .drop("_cuts")
-    )
+    return cut_by_range(df, keys, order, target)[0]
 
 
 def ranked(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, target: int | None = None
 ) -> DataFrame:
-    """Row number 1..n within ``keys`` following ``order``, also for a key of any size."""
-    sliced = ordered_slices(df, keys, order, target=target)
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sizes.withColumn("_off", F.sum("_c").over(earlier)).where(F.col("_slice") > 0).drop("_c")
-    )
+    """Row number 1..n within ``keys`` following ``order``, also for a key of any size.
+
+    A row's number is its number in its slice plus the rows in the slices before.
+    """
+    sliced, cut = cut_by_range(df, keys, order, target)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    numbered = sliced.withColumn("_rn", F.row_number().over(inside))
+    numbered = sliced.withColumn(name, F.row_number().over(inside).cast("bigint"))
+    if not cut:
+        return numbered.drop("_slice")
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.withColumn("_off", F.sum("_c").over(earlier)).where(F.col("_off") > 0).drop("_c")
     return (
-        numbered.join(F.broadcast(offsets), [*keys, "_slice"], "left")
-        .withColumn(name, F.col("_rn") + F.coalesce(F.col("_off"), F.lit(0)))
-        .drop("_rn", "_off", "_slice")
+        numbered.join(offsets, [*keys, "_slice"], "left")
+        .withColumn(name, F.col(name) + F.coalesce(F.col("_off"), F.lit(0)))
+        .drop("_off", "_slice")
     )
 
 
@@ -131,15 +136,17 @@ def previous_row(
     target: int | None = None,
 ) -> DataFrame:
     """Add ``name``: the ``order`` columns of the row before this one, as a struct."""
-    sliced = ordered_slices(df, keys, order, target=target)
+    sliced, cut = cut_by_range(df, keys, order, target)
     spot = F.struct(*[F.col(c) for c in order])
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     lagged = sliced.withColumn(name, F.lag(spot).over(inside))
+    if not cut:
+        return lagged.drop("_slice")
     ends = sliced.groupBy(*keys, "_slice").agg(F.max(spot).alias("_end"))
     along = Window.partitionBy(*keys).orderBy("_slice")
-    carried = ends.withColumn("_carry", F.lag("_end").over(along)).where(F.col("_slice") > 0).drop("_end")
+    carried = ends.withColumn("_carry", F.lag("_end").over(along)).where(F.col("_carry").isNotNull()).drop("_end")
     return (
-        lagged.join(F.broadcast(carried), [*keys, "_slice"], "left")
+        lagged.join(carried, [*keys, "_slice"], "left")
         .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
         .drop("_carry", "_slice")
     )

@@ -41,6 +41,24 @@ def test_rank_is_the_same_however_it_is_cut(frame, rows, target):
             assert got[k, i, x] == n
 
 
+def test_no_row_is_compared_with_a_list_of_cuts(frame):
+    """However often a key is cut, the plan holds no array of cut points and forces no broadcast."""
+    plan = scale.ranked(frame, ["k"], ["x", "id"], "n", target=10)._jdf.queryExecution().toString()
+    assert "cuts" not in plan and "filter(" not in plan and "broadcast)" not in plan.lower()
+    plan = scale.previous_row(frame, ["k"], ["x", "id"], "n", target=10)._jdf.queryExecution().toString()
+    assert "filter(" not in plan and "strategy=broadcast" not in plan.lower()
+
+
+def test_two_hot_keys_share_a_range(spark):
+    """Slices are partitions of all hot keys together, so a key may begin in the middle of one."""
+    rows = [(k, n % 7, f"{n:03d}") for k in ("a", "b", "c", None) for n in range(95)]
+    df = spark.createDataFrame(rows, "k string, x int, id string").repartition(3)
+    got = {(r.k, r.id): r.n for r in scale.ranked(df, ["k"], ["x", "id"], "n", target=40).collect()}
+    for key in ("a", "b", "c", None):
+        for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1:]), start=1):
+            assert got[key, i] == n
+
+
 @pytest.mark.parametrize("target", [10, 10_000])
 def test_previous_row_crosses_slices(frame, rows, target):
     got = {(r.k, r.id, r.x): r.p for r in scale.previous_row(frame, ["k"], ["x", "id"], "p", target=target).collect()}
