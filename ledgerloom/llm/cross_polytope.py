@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.embed_dedup import matrix, numbered, usable
+from ledgerloom.llm.embed_dedup import matrix, numbered, unit, usable
 from ledgerloom.operators.scale import stage
 
 TABLES = 8
@@ -54,10 +54,13 @@ def signs(dims: int, tables: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, 3, dims))
 
 
-def lift(x: np.ndarray, longest: float, dims: int) -> np.ndarray:
-    """Candidates as unit vectors of ``dims`` dimensions: the spare length goes into one more dimension."""
+def lift(x: np.ndarray, peak: float, longest: float, dims: int) -> np.ndarray:
+    """Candidates as unit vectors of ``dims`` dimensions: the spare length goes into one more dimension.
+
+    peak: the largest component of all; longest: the greatest length of all, counted in peaks.
+    """
     out = np.zeros((len(x), dims))
-    out[:, : x.shape[1]] = x / longest
+    out[:, : x.shape[1]] = x / peak / longest
     out[:, x.shape[1]] = np.sqrt(np.maximum(0, 1 - (out * out).sum(1)))
     return out
 
@@ -80,23 +83,29 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def top_rows(query: np.ndarray, rid: np.ndarray, vec: np.ndarray, x: np.ndarray, query_rid: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, positions, exact scores): the k nearest of x to every query, its own row left out."""
-    fast = x.astype(np.float32).T
-    slack = 1e-5 * (np.abs(query).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] + 1e-30)
+    # single precision picks, on rows scaled into its range; double precision on the vectors themselves decides
+    scaled = x / max(np.abs(x).max(initial=0), 5e-324)
+    fast, turn = scaled.astype(np.float32).T, unit(query)
+    slack = 1e-5 * x.shape[1]
     for i in range(len(query)):
         if i % QUERY_BLOCK == 0:
-            rough = query[i : i + QUERY_BLOCK].astype(np.float32) @ fast
+            rough = turn[i : i + QUERY_BLOCK].astype(np.float32) @ fast
         row = rough[i % QUERY_BLOCK]
         if len(row) > k + 1:
             at = np.nonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1] - slack)[0]
         else:
             at = np.arange(len(row))
         at = at[rid[at] != query_rid[i]]
-        exact = (x[at] * query[i]).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (x[at] * query[i]).sum(1)
+        if not np.isfinite(exact).all():  # beyond doubles only the sign is left to tell
+            sign = np.sign((scaled[at] * turn[i]).sum(1))
+            exact = np.where(np.isfinite(exact), exact, np.where(sign == 0, 0.0, sign * np.inf))
         order = best(exact, vec[at], k)
         yield i, at[order], exact[order]
 
 
-def fit_probes(sound: DataFrame, queries: DataFrame, longest: float, flips: np.ndarray, nearest: int, sample: int, target: float) -> int:
+def fit_probes(sound: DataFrame, queries: DataFrame, peak: float, longest: float, flips: np.ndarray, nearest: int, sample: int, target: float) -> int:
     """Probes per table that reach the target share of the sample's exact neighbours."""
     picked = queries.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("rid", "v").collect()
     asked = np.array([r["v"] for r in picked])
@@ -120,9 +129,9 @@ def fit_probes(sound: DataFrame, queries: DataFrame, longest: float, flips: np.n
     if not rows:
         return 1
     dims = flips.shape[-1]
-    which, found = np.array([r["q"] for r in rows]), lift(np.array([r["v"] for r in rows]), longest, dims)
+    which, found = np.array([r["q"] for r in rows]), lift(np.array([r["v"] for r in rows]), peak, longest, dims)
     wide = np.zeros((len(asked), dims))
-    wide[:, : asked.shape[1]] = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    wide[:, : asked.shape[1]] = unit(asked)
     least = np.full(len(rows), 2 * dims)
     for f in flips:
         bucket = closeness(turned(found, f)).argmax(1)
@@ -148,14 +157,16 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
     spark = embeddings.sparkSession
     shape = "query_id bigint, rank int, vec_id bigint, score double"
     sound = stage(usable(numbered(embeddings)))
-    head = sound.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")).first()
+    head = sound.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("peak")).first()
     if head["n"] is None:
         return spark.createDataFrame([], shape)
-    longest = float(np.sqrt(head["square"])) * (1 + 1e-12)
+    peak = float(head["peak"])
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / peak) * (x / peak))
+    longest = float(np.sqrt(sound.agg(F.max(square)).first()[0])) * (1 + 1e-12)
     dims = 1 << int(head["n"]).bit_length()
     flips = signs(dims, tables, seed)
     asked = sound.where(F.col("vec_id") % every == 0)
-    probes = fit_probes(sound, asked, longest, flips, nearest, sample, target)
+    probes = fit_probes(sound, asked, peak, longest, flips, nearest, sample, target)
 
     def hashes(query: bool, probes: int = 1, tables: int = tables):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +174,9 @@ def search(embeddings: DataFrame, every: int = 20, nearest: int = NEAREST, table
                 x = matrix(batch.column(2))
                 if query:
                     y = np.zeros((len(x), dims))
-                    y[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+                    y[:, : x.shape[1]] = unit(x)
                 else:
-                    y = lift(x, longest, dims) if len(x) else np.zeros((0, dims))
+                    y = lift(x, peak, longest, dims) if len(x) else np.zeros((0, dims))
                 found = []
                 for t in range(tables):
                     near = closeness(turned(y, flips[t]))

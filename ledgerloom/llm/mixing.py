@@ -10,7 +10,7 @@
 4. Each shard draws that many blocks from a fixed permutation of the source's block instances, so
    shards are disjoint; rows are shuffled inside their shard only.
 
-Everything is drawn by hash, so reruns agree. Built-in functions only.
+Everything is drawn by hashes of whole rows, so reruns agree. Built-in functions only.
 
 Defined cases: a null text has size 0 and is taken as often as its source says, adding nothing; a null
 source is a source of its own, last in order; identical rows are separate documents; no words at all
@@ -100,7 +100,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
     sources = stage(sources.withColumns({
         "source_no": F.xxhash64("no_source", "source_name"), "passes": whole, "blocks": F.ceil(F.col("docs") / block_docs),
     }).withColumn("rest", F.when(F.col("passes") >= most, 0.0).otherwise(F.col("target") - F.col("passes") * F.col("source_size"))))
-    draw = uniform(F.lit(seed), F.col("row.doc_id"), F.col("size"))
+    # A hash of the whole row (nulls hash as their place): rows tie only if all they hold is equal. Maps cannot be hashed.
+    held = [F.struct(F.lit(i), F.col("row").getField(f.name)) for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
+    draw = uniform(F.lit(seed), *held)
     placed = everything.join(sources, ["no_source", "source_name"]).withColumn("draw", draw).withColumn(
         "block", F.least(F.floor(F.col("draw") * F.col("blocks")), F.col("blocks") - 1)
     )
@@ -138,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
         *key, "block", "before", "rest", "passes", F.coalesce("homes", F.array().cast("array<int>")).alias("homes")
     ))
     rows = placed.select("row", "size", *key, "source_size", "target", "draw", "block").join(blocks, [*key, "block"])
-    inside = Window.partitionBy(*key, "block").orderBy("draw", F.col("row.doc_id"), "size")
+    inside = Window.partitionBy(*key, "block").orderBy("draw", F.col("row.doc_id"), "size", F.xxhash64("row.text"))
     here = F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     times = F.col("passes") + (here + F.col("size") / 2 < F.col("rest")).cast("int")
     return rows.withColumn("shards", F.slice("homes", F.lit(1), times)).select(

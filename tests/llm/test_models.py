@@ -121,6 +121,18 @@ def test_search_of_odd_vectors(spark):
     assert cross_polytope.search(df.limit(0)).count() == 0
 
 
+def test_search_among_extreme_vectors(spark):
+    """Every query is answered; products beyond doubles are infinite and tie by vec_id."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [-1e200, 1.0]), (3, [5e-324, 0.0]), (20, [1e-200, 0.0]), (4, [3.0, 4.0]), (40, [1.0, 0.0])]
+    out = {}
+    for r in cross_polytope.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert {q: len(v) for q, v in out.items()} == {0: 6, 20: 6, 40: 6}
+    assert out[0][0] == (1, math.inf) and out[0][-1] == (2, -math.inf) and out[0][1] == (4, 7e200)
+    assert out[40][:3] == [(0, 1e200), (1, 1e200), (4, 3.0)] and out[40][-1] == (2, -1e200)
+    assert [v for v, _ in out[20][:3]] == [0, 1, 4] and out[20][2][1] == pytest.approx(3e-200)
+
+
 def test_every_query_gets_all_that_is_due(spark):
     """Few vectors, and queries far off a large group of copies that the probes are fitted on."""
     draw = np.random.default_rng(6)

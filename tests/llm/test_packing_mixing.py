@@ -107,6 +107,17 @@ def test_mixing(docs, block_docs):
         assert sorted((r.doc_id, r.taken, tuple(r.shards)) for r in out) == sorted((r.doc_id, r.taken, tuple(r.shards)) for r in again)
 
 
+def test_reruns_agree_without_ids(spark):
+    """Null ids and equal sizes, dealt over other partitions in another order: every text is taken as often."""
+    rows = [(None if i % 2 else i, f"w{i % 40} " * (1 + i % 5) + f"own{i // 2}", f"src{i % 3}") for i in range(400)]
+    want = None
+    for parts, order in ((1, rows), (3, rows[::-1]), (7, rows)):
+        df = spark.createDataFrame(order, "doc_id bigint, text string, source string").repartition(parts)
+        out = sorted((r.text, -1 if r.doc_id is None else r.doc_id, r.taken) for r in mixing.mix(df, block_docs=8).select("row.text", "row.doc_id", "taken").collect())
+        assert want is None or out == want
+        want = out
+
+
 def test_quotas_split_exactly(spark):
     quotas = spark.createDataFrame([(1, 40), (2, 7), (3, 0), (4, 100)], "source_no bigint, blocks bigint")
     out = mixing.split_quotas(quotas, 5, 1).collect()
