@@ -186,10 +186,10 @@ def plain_base(rows):
     return sorted((-1 if d is None else d, out(d), len(tokens[i]) + 1, sum(c[w] > 0 for w in tokens[i] + [None]), n, round(sum(base(w) for w in tokens[i] + [None]), 4)) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("chunk", [2000, 4_000_000])
-def test_base_scores(docs, odd, nothing, chunk):
+@pytest.mark.parametrize("chunk, words", [(2000, 300), (4_000_000, 0), (4_000_000, 1 << 17)])
+def test_base_scores(docs, odd, nothing, chunk, words):
     for df in (docs, odd):
-        out = attention_lm.score_documents(df, chunk=chunk, steps=20).collect()
+        out = attention_lm.score_documents(df, chunk=chunk, steps=20, words=words, shard_ids=20_000).collect()
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in out) == plain_base(rows)
         assert all(math.isfinite(r.score) and r.score < 0 for r in out)
@@ -201,6 +201,43 @@ def test_held_out_documents_score_better_than_their_base(spark):
     assert out[0] > out[1]
 
 
+def test_scores_are_probabilities():
+    """Over a closed set of spellings: seen words by their counts, the share of unseen ones dealt out by the model."""
+    draw = np.random.default_rng(7)
+    attention = draw.dirichlet(np.ones(500))
+    c = np.where(np.arange(500) < 120, draw.integers(1, 90, 500), 0)
+    n, v = c.sum(), (c > 0).sum()
+    base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    for mix in (0.01, 0.75, 0.99):
+        got = 10 ** attention_lm.word_scores(np.log10(attention), base, c > 0, mix)
+        counts = np.where(c > 0, 10**base, 0.1 / (n + 0.1 * (v + 1)) * attention)
+        assert np.allclose(got, (1 - mix) * attention + mix * counts) and got.sum() <= 1
+
+
+def test_scoring_follows_plain_attention():
+    """The lean pass over target classes gives what attend() gives, block by block."""
+    p = attention_lm.fit(small_model(), [np.arange(400) % 77], steps=40)
+    for ids in (np.arange(50) * 13 % 700, np.array([5])):
+        symbols, target = attention_lm.inputs_targets(p, ids)
+        now, first = attention_lm.blocks([symbols])
+        logp, _ = attention_lm.attend(p, now, np.concatenate((now[:1], now[:-1])), first)
+        plain = np.take_along_axis(logp.reshape(-1, attention_lm.CLASSES)[: len(target)], target[:, None], 1)[:, 0]
+        plain[:-1] += p["within"][ids]
+        assert np.allclose(attention_lm.log_probabilities(p, [ids])[0], plain, atol=1e-3)
+
+
+def test_rounds_average_what_shards_learn(spark):
+    """One shard is plain training; several end with common weights that have learned; none leave the prior."""
+    model = small_model()
+    texts = [np.array([3, 9, 4, 8] * 30), np.array([5, 2] * 50), np.arange(60)]
+    rows = spark.createDataFrame([(t.astype("<u4").tobytes(),) for t in texts * 4], "ids binary")
+    loss = lambda p: -sum(x.sum() for x in attention_lm.log_probabilities(p, texts))
+    start = loss(attention_lm.fit(model, [], steps=1))
+    for parts in (1, 3):
+        assert loss(attention_lm.fit_in_rounds(model, rows.repartition(parts), 60, 2)) < 0.9 * start
+    assert loss(attention_lm.fit_in_rounds(model, rows.limit(0), 60, 2)) == pytest.approx(start)
+
+
 def small_model():
     draw = np.random.default_rng(2)
     symbol = np.minimum(np.arange(attention_lm.VOCABULARY), attention_lm.SYMBOLS)
