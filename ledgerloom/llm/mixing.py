@@ -91,19 +91,19 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, shards: int = 16, seed: int = 5, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Every row of docs as ``row`` with size, source_size, target, shards (one entry per time it is taken) and taken."""
+    # Hashes of whole rows, taken where the texts are (nulls hash as their place): rows tie only if all they hold is equal.
+    held = [F.struct(F.lit(i), docs[f.name]) for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
     everything = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), word_count(docs["text"]).alias("size"),
         docs["source"].isNull().alias("no_source"), F.coalesce(docs["source"], F.lit("")).alias("source_name"),
+        uniform(F.lit(seed), *held).alias("draw"), F.xxhash64(F.lit(~seed), *held).alias("tie"),
     )
     sources = source_targets(everything.select("no_source", "source_name", "size"), weights, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("int")
     sources = stage(sources.withColumns({
         "source_no": F.xxhash64("no_source", "source_name"), "passes": whole, "blocks": F.ceil(F.col("docs") / block_docs),
     }).withColumn("rest", F.when(F.col("passes") >= most, 0.0).otherwise(F.col("target") - F.col("passes") * F.col("source_size"))))
-    # A hash of the whole row (nulls hash as their place): rows tie only if all they hold is equal. Maps cannot be hashed.
-    held = [F.struct(F.lit(i), F.col("row").getField(f.name)) for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
-    draw = uniform(F.lit(seed), *held)
-    placed = everything.join(sources, ["no_source", "source_name"]).withColumn("draw", draw).withColumn(
+    placed = everything.join(sources, ["no_source", "source_name"]).withColumn(
         "block", F.least(F.floor(F.col("draw") * F.col("blocks")), F.col("blocks") - 1)
     )
     # Words before each block: within runs of blocks, and over the runs.
@@ -139,8 +139,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sh
     blocks = stage(facts.join(homes, [*key, "block"], "left").select(
         *key, "block", "before", "rest", "passes", F.coalesce("homes", F.array().cast("array<int>")).alias("homes")
     ))
-    rows = placed.select("row", "size", *key, "source_size", "target", "draw", "block").join(blocks, [*key, "block"])
-    inside = Window.partitionBy(*key, "block").orderBy("draw", F.col("row.doc_id"), "size", F.xxhash64("row.text"))
+    rows = placed.select("row", "size", *key, "source_size", "target", "draw", "tie", "block").join(blocks, [*key, "block"])
+    inside = Window.partitionBy(*key, "block").orderBy("draw", "tie")
     here = F.col("before") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     times = F.col("passes") + (here + F.col("size") / 2 < F.col("rest")).cast("int")
     return rows.withColumn("shards", F.slice("homes", F.lit(1), times)).select(
