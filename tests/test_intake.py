@@ -56,6 +56,11 @@ def test_two_headers_for_one_field_are_ambiguous_and_overrides_win():
     assert found.resolved == {"Date": "voucher_date", "Foo": "narration"}
     with pytest.raises(mapping.LedgerError, match="a voucher number"):
         mapping.check_usable(found)
+    many = mapping.map_headers(["Vch No", "Date", "Doc No", "What", "Voucher", "Amount", "Ledger"], {"What": "narration"})
+    assert many.resolved == {"Vch No": "voucher_id", "Date": "voucher_date", "What": "narration", "Amount": "amount", "Ledger": "account_name"}
+    assert set(many.ambiguous) == {"Vch No", "Doc No", "Voucher"} and many.unmapped == [] and many.missing == []
+    late = mapping.use_posting_date(mapping.map_headers(["Posting Date", "Foo"]))
+    assert late.resolved == {"Posting Date": "voucher_date"} and late.unmapped == ["Foo"] and late.missing == ["account_name", "voucher_id", mapping.AMOUNT]
 
 
 def tally(spark):
