@@ -518,7 +518,7 @@ oracle("union_hits", "SELECT ledger_id, kind, count(*) n, round(sum(strength), 4
 CTE["sets"] = f"SELECT DISTINCT {KEY}, unnest(CASE WHEN kind = 'amount_outlier' THEN ['statistics', 'statistics+model', 'all'] ELSE ['rules', 'all'] END) approach FROM hits"
 oracle("approach_sets", "SELECT ledger_id, approach, count(*) flagged FROM sets GROUP BY 1, 2")
 oracle("set_intersect", f"SELECT {KEY} FROM fnd INTERSECT SELECT {KEY} FROM harmless")
-oracle("set_except", f"SELECT {KEY} FROM bad EXCEPT SELECT {KEY} FROM fnd")
+oracle("set_except", f"SELECT {KEY} FROM bad EXCEPT SELECT {KEY} FROM fnd WHERE band = 'high'")
 oracle("distinct_sides", f"SELECT DISTINCT {KEY}, account_code FROM lines WHERE debit_paise > 0")
 oracle("drop_signals", f"""
 SELECT {KEY}, round(p, 6) priority, CASE WHEN round(p, 12) >= 0.7 THEN 'high' WHEN round(p, 12) >= 0.4 THEN 'medium' ELSE 'low' END band FROM

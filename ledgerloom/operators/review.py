@@ -31,7 +31,7 @@ def append_decisions(trail: DataFrame, incoming: DataFrame) -> DataFrame:
     """New trail rows: valid ones only, numbered on from the trail's last sequence."""
     good = check_decisions(incoming).where(F.col("problem").isNull()).drop("problem")
     last = trail.groupBy(F.lit(1).alias("_k")).agg(F.max("sequence").alias("_last"))
-    numbered = ranked(good.withColumn("_k", F.lit(1)), ["_k"], ["decided_at", "engagement_id", "voucher_id"], "_n")
+    numbered = ranked(good.withColumn("_k", F.lit(1)), ["_k"], ["decided_at", "engagement_id", "voucher_id", "action", "reviewer"], "_n")
     return (
         numbered.join(F.broadcast(last), "_k", "left")
         .withColumn("sequence", F.coalesce(F.col("_last"), F.lit(0)) + F.col("_n"))
