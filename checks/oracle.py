@@ -353,6 +353,23 @@ oracle("queue_counts", _tally.format(low="count(*) FILTER (band = 'low') low,"))
 
 # --- projection, conformance, filters -----------------------------------------------------
 
+_filled = [
+    ("Voucher No", "voucher_id", "voucher_id <> ''"), ("Date", "voucher_date", "voucher_date IS NOT NULL"), ("Posted", "posted_at", "posted_at IS NOT NULL"),
+    ("Vch Type", "voucher_type", "voucher_type <> ''"), ("Ledger", "account_name", "account_name <> ''"), ("Debit", "debit", "debit_paise <> 0"),
+    ("Credit", "credit", "credit_paise <> 0"), ("Narration", "narration", "narration <> ''"), ("Doc Ref", "document_ref", "document_ref <> ''"),
+    ("Entered By", "created_by", "created_by <> ''"), ("Approved By", "approved_by", "approved_by <> ''"),
+]
+oracle("infer_mapping", " UNION ALL ".join(
+    f"SELECT {i} position, '{header}' header, '{field}' field, 'mapped' state, count(*) FILTER ({filled}) filled FROM lines WHERE ledger_id = 'EVT'"
+    for i, (header, field, filled) in enumerate(_filled, start=1)
+))
+_no_ledger = "This file does not look like a ledger: could not find a voucher number, a date, a ledger or account name"
+_no_amount = "; could not find a debit/credit or amount column. Columns recognised: none."
+oracle("usable_check", " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{_no_ledger}{rest}' AS problem, count(*) AS "rows" FROM {t}"""
+    for t, rest in [("orders", _no_amount), ("lineitem", _no_amount), ("customer", _no_amount), ("events", ". Columns recognised: user_id, value.")]
+))
+
 oracle("header_normalise", """SELECT p_partkey, trim(regexp_replace(lower(p_name || '  (No.)_' || p_type || '--X'), '[^\\p{L}\\p{N}]+', ' ', 'g')) header FROM part""")
 oracle("canonical_passthrough", f"SELECT line_id, ledger_id, debit_paise, credit_paise, is_manual, approved_by, document_ref, {day('voucher_date')} FROM lines")
 oracle("coerce_types", f"""
