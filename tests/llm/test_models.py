@@ -202,16 +202,17 @@ def test_held_out_documents_score_better_than_their_base(spark):
 
 
 def test_scores_are_probabilities():
-    """Over a closed set of spellings: seen words by their counts, the share of unseen ones dealt out by the model."""
+    """Known words and one class of all others: the mix is that of two distributions, and sums to one at most."""
     draw = np.random.default_rng(7)
     attention = draw.dirichlet(np.ones(500))
     c = np.where(np.arange(500) < 120, draw.integers(1, 90, 500), 0)
     n, v = c.sum(), (c > 0).sum()
     base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+    assert (10 ** base[:121]).sum() == pytest.approx(1)
     for mix in (0.01, 0.75, 0.99):
-        got = 10 ** attention_lm.word_scores(np.log10(attention), base, c > 0, mix)
-        counts = np.where(c > 0, 10**base, 0.1 / (n + 0.1 * (v + 1)) * attention)
-        assert np.allclose(got, (1 - mix) * attention + mix * counts) and got.sum() <= 1
+        got = 10 ** attention_lm.word_scores(np.log10(attention), base, mix)
+        assert np.allclose(got, (1 - mix) * attention + mix * 10**base)
+        assert all(got[:120].sum() + other <= 1 + 1e-9 for other in got[120:])
 
 
 def test_scoring_follows_plain_attention():
