@@ -263,7 +263,7 @@ SELECT ledger_id, voucher_id, kind, c, row_number() OVER (PARTITION BY ledger_id
 CTE["heads"] = "SELECT ledger_id, voucher_id, list(kind ORDER BY nth) concerns FROM heads0 WHERE c >= 0.05 OR nth = 1 GROUP BY 1, 2"
 CTE["trail0"] = """
 SELECT ledger_id engagement_id, voucher_id, substr(voucher_id, 2, 9)::BIGINT k, unnest(CASE WHEN substr(voucher_id, 2, 9)::BIGINT % 7 = 0 THEN [0, 1] ELSE [0] END) turn
-FROM fnd WHERE ledger_id = 'EVT'"""
+FROM fnd WHERE ledger_id = 'EVT' OR substr(voucher_id, 2, 9)::BIGINT % 3 <> 0"""
 CTE["trail"] = """
 SELECT engagement_id, voucher_id, k * 2 + turn + 1 sequence, CASE (k + turn) % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' WHEN 2 THEN 'investigate' ELSE 'adjust' END action,
   'R' || (k % 3) reviewer, CASE WHEN (k + turn) % 4 = 1 THEN 'checked to the invoice' END note, TIMESTAMP '2024-06-01 09:00:00' + to_minutes((k * 2 + turn)::BIGINT) decided_at FROM trail0"""
@@ -278,12 +278,19 @@ SELECT 'EVT' ledger_id, voucher_id,
     CASE WHEN amount >= 4500 AND amount < 5000 AND k % 3 <> 0 THEN 'threshold_adjacent' END], lambda x: x IS NOT NULL) anomalies,
   list_filter([CASE WHEN amount >= 4500 AND amount < 5000 AND k % 3 = 0 THEN 'legit_below_threshold' END,
     CASE WHEN k % 20 = 3 AND ti NOT IN (1, 2) THEN 'legit_system_no_document' END], lambda x: x IS NOT NULL) decoys
-FROM evt WHERE amount > 0"""
+FROM evt WHERE amount > 0
+UNION ALL SELECT 'ORD', 'V' || lpad(o_orderkey::VARCHAR, 9, '0'),
+  list_filter([CASE WHEN o_orderkey % 499 = 0 THEN 'post_close_entry' END, CASE WHEN bare AND manual THEN 'missing_document_ref' END,
+    CASE WHEN sunday AND manual THEN 'weekend_posting' END], lambda x: x IS NOT NULL),
+  list_filter([CASE WHEN bare AND NOT manual THEN 'legit_system_no_document' END, CASE WHEN sunday AND approved THEN 'legit_saturday_posting' END], lambda x: x IS NOT NULL)
+FROM (SELECT *, o_orderstatus = 'P' AND o_orderkey % 5 = 0 bare, o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') manual,
+  o_orderpriority IN ('1-URGENT', '2-HIGH') approved, dayofweek(o_orderdate) = 0 sunday FROM orders) WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"""
 CTE["bad"] = "SELECT ledger_id, voucher_id FROM truth WHERE len(anomalies) > 0"
 CTE["harmless"] = "SELECT ledger_id, voucher_id FROM truth WHERE len(decoys) > 0"
 CTE["run"] = """
-SELECT q.*, (b.voucher_id IS NOT NULL)::INT found, sum((b.voucher_id IS NOT NULL)::INT) OVER (ORDER BY rank) found_so_far
-FROM que q LEFT JOIN bad b USING (ledger_id, voucher_id) WHERE q.ledger_id = 'EVT'"""
+SELECT q.*, (b.voucher_id IS NOT NULL)::INT found, sum((b.voucher_id IS NOT NULL)::INT) OVER (PARTITION BY ledger_id ORDER BY rank) found_so_far
+FROM que q LEFT JOIN bad b USING (ledger_id, voucher_id)"""
+CTE["wanted"] = "SELECT ledger_id, count(*) actual FROM bad GROUP BY 1"""
 
 KEY = "ledger_id, voucher_id"
 join = lambda c, alias=None: f"array_to_string({c}, '|') {alias or c}"
@@ -610,22 +617,37 @@ FROM (SELECT voucher_id, lower('Noted: ' || ({_lit(_first_cues)})[k % 12 + 1] ||
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 oracle("score_sets", """
-SELECT 'EVT' ledger_id, p predicted, a actual, h hits, round(h / a, 6) recall, round(h / p, 6) AS precision, round(2 * (h / a) * (h / p) / (h / a + h / p), 6) f1
-FROM (SELECT (SELECT count(*) FROM fnd WHERE ledger_id = 'EVT') p, (SELECT count(*) FROM bad) a, (SELECT count(*) FROM bad SEMI JOIN fnd USING (ledger_id, voucher_id)) h)""")
+SELECT ledger_id, p predicted, actual, h hits, round(h / actual, 6) recall, round(h / p, 6) AS precision, round(2 * (h / actual) * (h / p) / (h / actual + h / p), 6) f1
+FROM (SELECT ledger_id, count(*) p FROM fnd GROUP BY 1) JOIN wanted USING (ledger_id)
+JOIN (SELECT ledger_id, count(*) h FROM bad SEMI JOIN fnd USING (ledger_id, voucher_id) GROUP BY 1) USING (ledger_id)""")
 oracle("false_positive_rate", "SELECT ledger_id, round(count(f.voucher_id) / count(*), 6) rate FROM harmless LEFT JOIN fnd f USING (ledger_id, voucher_id) GROUP BY 1")
 oracle("precision_at_k", "SELECT ledger_id, k, round(avg(found), 6) AS precision FROM run, (VALUES (10), (25), (50), (100)) b(k) WHERE rank <= k GROUP BY 1, 2")
 oracle("queue_quality", """
 SELECT ledger_id, count(*) queue, round(avg(found) FILTER (rank <= 10), 3) p_at_10, round(avg(found) FILTER (rank <= 25), 3) p_at_25, round(avg(found) FILTER (rank <= 50), 3) p_at_50,
-  round(avg(found) FILTER (rank <= 100), 3) p_at_100, min(rank) FILTER (found = 1) first_hit, min(rank) FILTER (found_so_far >= 0.95 * (SELECT count(*) FROM bad)) items_for_95pct,
-  round(sum(found) / (SELECT count(*) FROM bad), 3) recall FROM run GROUP BY 1""")
+  round(avg(found) FILTER (rank <= 100), 3) p_at_100, min(rank) FILTER (found = 1) first_hit, min(rank) FILTER (found_so_far >= 0.95 * actual) items_for_95pct,
+  round(sum(found) / any_value(actual), 3) recall FROM run JOIN wanted USING (ledger_id) GROUP BY 1""")
+CTE["vbase"] = """
+SELECT ledger_id, voucher_id, variant, 1 - product(1 - least(c, 1)) base FROM whits, (VALUES ('full'), ('no evidence uplift'), ('no evidence at all'), ('no model'), ('unranked')) x(variant)
+WHERE variant <> 'no evidence at all' OR kind <> 'missing_evidence' GROUP BY 1, 2, 3"""
+CTE["vque"] = """
+SELECT ledger_id, voucher_id, variant, row_number() OVER (PARTITION BY ledger_id, variant ORDER BY CASE variant WHEN 'unranked' THEN 0 ELSE round(p, 6) END DESC, voucher_id) AS rank
+FROM (SELECT *, base + CASE WHEN variant LIKE 'no evidence%' THEN 0 ELSE 0.45::DOUBLE * (1 - completeness) * (1 - base) END p FROM vbase JOIN evm USING (ledger_id, voucher_id)) WHERE p > 0"""
+CTE["vrun"] = """
+SELECT q.*, (b.voucher_id IS NOT NULL)::INT found, sum((b.voucher_id IS NOT NULL)::INT) OVER (PARTITION BY ledger_id, variant ORDER BY rank) found_so_far
+FROM vque q LEFT JOIN bad b USING (ledger_id, voucher_id)"""
+oracle("ablation_rules", """
+SELECT ledger_id, variant, count(*) queue, round(avg(found) FILTER (rank <= 10), 3) p_at_10, round(avg(found) FILTER (rank <= 25), 3) p_at_25, round(avg(found) FILTER (rank <= 50), 3) p_at_50,
+  round(avg(found) FILTER (rank <= 100), 3) p_at_100, min(rank) FILTER (found = 1) first_hit, min(rank) FILTER (found_so_far >= 0.95 * actual) items_for_95pct,
+  round(sum(found) / any_value(actual), 3) recall FROM vrun JOIN wanted USING (ledger_id) GROUP BY 1, 2""")
 _duty = ", ".join(
     f"('{s}', '{k}', {repr(evaluation.TRAPS[s]) if s in evaluation.TRAPS else 'NULL'}, {C.SIGNAL_WEIGHTS[s]}::DOUBLE)" for s, k in evaluation.RESPONSIBILITY.items()
 )
+_caught = "avg(EXISTS (SELECT 1 FROM hits h WHERE h.ledger_id = t.ledger_id AND h.voucher_id = t.voucher_id AND h.kind = d.kind)::INT)"
 oracle("signal_scorecard", f"""
-SELECT kind, round(coalesce(r, 0), 4) mean_recall, round(coalesce(r, 0), 4) min_recall, round(coalesce(f, 0), 4) trap_false_positives, weight FROM (
-SELECT kind, weight, (SELECT avg(EXISTS (SELECT 1 FROM hits h WHERE h.ledger_id = t.ledger_id AND h.voucher_id = t.voucher_id AND h.kind = d.kind)::INT) FROM truth t WHERE list_contains(anomalies, planted)) r,
-  (SELECT avg(EXISTS (SELECT 1 FROM hits h WHERE h.ledger_id = t.ledger_id AND h.voucher_id = t.voucher_id AND h.kind = d.kind)::INT) FROM truth t WHERE list_contains(decoys, trap)) f
-FROM (VALUES {_duty}) d(kind, planted, trap, weight))""")
+SELECT kind, round(avg(coalesce(r, 0)), 4) mean_recall, round(min(coalesce(r, 0)), 4) min_recall, round(sum(coalesce(f, 0)), 4) trap_false_positives, any_value(weight) weight FROM (
+SELECT ledger_id, kind, weight, (SELECT {_caught} FROM truth t WHERE t.ledger_id = b.ledger_id AND list_contains(anomalies, planted)) r,
+  (SELECT {_caught} FROM truth t WHERE t.ledger_id = b.ledger_id AND list_contains(decoys, trap)) f
+FROM (VALUES {_duty}) d(kind, planted, trap, weight), (SELECT DISTINCT ledger_id FROM truth) b) GROUP BY 1""")
 oracle("mean_by_variant", "SELECT kind, round(avg(n), 4) vouchers, round(avg(s), 4) strength FROM (SELECT ledger_id, kind, count(*) n, avg(strength) s FROM hits GROUP BY 1, 2) GROUP BY 1")
 oracle("label_lift", """
 SELECT ledger_id, round(l, 6) labelled_share, round(b, 6) baseline_share, round(l / greatest(b, 1e-9), 4) lift FROM (SELECT ledger_id, avg(shows) FILTER (list_contains(anomalies, 'post_close_entry')) l, avg(shows) b
@@ -648,7 +670,10 @@ _red = lambda c: f"CASE WHEN {c} IS NULL THEN '-' WHEN regexp_matches({c}, '^[A-
 oracle("redact", f"SELECT 'p' || page_id id, {_red('url')} logged FROM pages UNION ALL SELECT 'c' || c_custkey, {_red('c_name')} FROM customer")
 oracle("conformity_level", """SELECT o_orderkey, CASE WHEN x <= 60 THEN 'close' WHEN x <= 120 THEN 'acceptable' WHEN x <= 150 THEN 'marginal' ELSE 'non-conforming' END conformity FROM (SELECT o_orderkey, o_orderkey % 200 x FROM orders)""")
 oracle("contribution_level", f"SELECT {KEY}, kind, CASE WHEN c >= 0.6 THEN 'High' WHEN c >= 0.3 THEN 'Medium' ELSE 'Low' END AS level, c < 0.05 minor FROM contrib")
-oracle("readability", f"SELECT doc_id, CASE WHEN w <= 180 THEN 'easy' WHEN w <= 250 THEN 'fair' ELSE 'heavy' END reading FROM (SELECT doc_id, {_words} w FROM documents)")
+_sentences = "greatest(len(list_filter(regexp_split_to_array(t, '[.!?]+(?:\\s|$)'), lambda x: trim(x) <> '')), 1)"
+oracle("readability", f"""
+SELECT doc_id, round(w, 6) words_per_sentence, CASE WHEN w <= 18 THEN 'easy' WHEN w <= 25 THEN 'fair' ELSE 'heavy' END reading
+FROM (SELECT doc_id, {_words} / {_sentences} w FROM (SELECT *, translate(text, chr(9) || chr(10) || chr(13) || chr(11) || chr(12), '     ') t FROM documents))""")
 _layer = {"amount_outlier": "statistics", "ml_anomaly": "model"}
 _reg = ", ".join(f"({i}, '{k}', '{_layer.get(k, 'rule')}', {C.SIGNAL_WEIGHTS[k]}::DOUBLE)" for i, k in enumerate(C.ALL_KINDS, start=1))
 oracle("signal_registry", f"SELECT position, kind, layer, weight, (SELECT count(*) FROM hits h WHERE h.kind = r.kind) hits FROM (VALUES {_reg}) r(position, kind, layer, weight)")

@@ -12,7 +12,7 @@ from ledgerloom import config as C
 from ledgerloom.config import KEY, LEDGER, threshold_frame
 from ledgerloom.functions import dates, labels, money, text
 from ledgerloom.operators import balances, digest, evidence, fusion, review, signals, similar, statistics, vouchers
-from ledgerloom.operators.scale import ranked, shared_dir, stage
+from ledgerloom.operators.scale import shared_dir, stage
 from ledgerloom.operators.vouchers import LedgerFrames
 from ledgerloom.plans import evaluation, explain, fixtures, textaudit
 from ledgerloom.plans.review import EVERYTHING, all_hits, build_findings
@@ -71,7 +71,7 @@ class Book:
 
     @cached_property
     def truth(self) -> DataFrame:
-        return stage(fixtures.event_truth(self.spark, self.sf))
+        return stage(fixtures.both_truth(self.spark, self.sf))
 
     @cached_property
     def trail(self) -> DataFrame:
@@ -99,9 +99,9 @@ def day(column: str) -> Column:
 
 
 def decision_trail(found: DataFrame) -> DataFrame:
-    """Decisions on the event ledger's findings: one each, a later second one for every seventh."""
+    """Decisions on findings, all of one ledger and two in three of the other; a later second one for every seventh."""
     k = F.substring("voucher_id", 2, 9).cast("bigint")
-    rows = found.where(F.col(LEDGER) == "EVT").select(F.col(LEDGER).alias("engagement_id"), "voucher_id", k.alias("k"))
+    rows = found.where((F.col(LEDGER) == "EVT") | (k % 3 != 0)).select(F.col(LEDGER).alias("engagement_id"), "voucher_id", k.alias("k"))
     turns = F.explode(F.when(F.col("k") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     both = rows.withColumn("turn", turns)
     pick = (F.col("k") + F.col("turn")) % 4
@@ -564,7 +564,7 @@ def _(b):
 @query("owner_scope")
 def _(b):
     rows = engagements(b)
-    return rows.where(F.col("owner_id") == "U3").select("id", "owner_id")
+    return review.owner_scope(rows, "U3").select("id", "owner_id")
 
 
 # --- joins ------------------------------------------------------------------
@@ -823,8 +823,7 @@ def _(b):
 
 @query("cumulative_hits")
 def _(b):
-    evt = b.queue.where(F.col(LEDGER) == "EVT")
-    return evaluation.cumulative_hits(evt, evaluation.anomalous(b.truth)).select(*KEY, "rank", "found_so_far")
+    return evaluation.cumulative_hits(b.queue, evaluation.anomalous(b.truth)).select(*KEY, "rank", "found_so_far")
 
 
 @query("source_row")
@@ -843,7 +842,7 @@ def _(b):
 
 @query("hits_sorted")
 def _(b):
-    return b.hits.select(*KEY, "kind", F.round("strength", 6).alias("strength")).orderBy(*KEY, "kind")
+    return signals.sorted_hits(b.hits).select(*KEY, "kind", F.round("strength", 6).alias("strength"))
 
 
 @query("queue_ranked")
@@ -858,8 +857,7 @@ def _(b):
 
 @query("detect_ranked")
 def _(b):
-    total = b.hits.groupBy(*KEY).agg(F.round(F.sum("strength"), 6).alias("total"))
-    return ranked(total.withColumn("_down", -F.col("total")), [LEDGER], ["_down", "voucher_id"], "rank").select(*KEY, "total", "rank")
+    return fusion.by_total_strength(b.hits).select(*KEY, "total", "rank")
 
 
 @query("queue_unranked")
@@ -869,7 +867,7 @@ def _(b):
 
 @query("page")
 def _(b):
-    return b.queue.where(F.col("rank").between(201, 400)).select(*KEY, "rank")
+    return review.page(b.queue, 2).select(*KEY, "rank")
 
 
 @query("union_hits")
@@ -898,7 +896,7 @@ def _(b):
 
 @query("distinct_sides")
 def _(b):
-    return b.lines.where(F.col("debit_paise") > 0).select(*KEY, "account_code").dropDuplicates()
+    return vouchers.distinct_sides(b.lines)
 
 
 @query("drop_signals")
@@ -1074,8 +1072,8 @@ def _(b):
 
 
 def written_texts(b: Book) -> DataFrame:
-    """Two texts per event finding: the deterministic one, and one altered by voucher arithmetic."""
-    found = b.signalled.where(F.col(LEDGER) == "EVT")
+    """Two texts per finding: the deterministic one, and one altered by voucher arithmetic."""
+    found = b.signalled
     ids = explain.source_line_ids(b.lines, found)
     facts = explain.structured_facts(explain.explanation(found, ids))
     k = F.substring("voucher_id", 2, 9).cast("bigint")
@@ -1155,8 +1153,7 @@ def _(b):
 
 @query("score_sets")
 def _(b):
-    evt = b.found.where(F.col(LEDGER) == "EVT")
-    s = evaluation.score_sets(evt, evaluation.anomalous(b.truth))
+    s = evaluation.score_sets(b.found, evaluation.anomalous(b.truth))
     return s.select(LEDGER, "predicted", "actual", "hits", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 
@@ -1167,13 +1164,12 @@ def _(b):
 
 @query("precision_at_k")
 def _(b):
-    evt = b.queue.where(F.col(LEDGER) == "EVT")
-    return evaluation.precision_at(evt, evaluation.anomalous(b.truth)).select(LEDGER, "k", F.round("precision", 6).alias("precision"))
+    return evaluation.precision_at(b.queue, evaluation.anomalous(b.truth)).select(LEDGER, "k", F.round("precision", 6).alias("precision"))
 
 
 @query("queue_quality")
 def _(b):
-    return evaluation.queue_quality(b.queue.where(F.col(LEDGER) == "EVT"), evaluation.anomalous(b.truth))
+    return evaluation.queue_quality(b.queue, evaluation.anomalous(b.truth))
 
 
 @query("ablation")
@@ -1181,6 +1177,11 @@ def _(b):
     return evaluation.ablation(b.frames, evaluation.anomalous(b.truth))
 
 
+@query("ablation_rules")
+def _(b):
+    return evaluation.ablation(b.frames, evaluation.anomalous(b.truth), use_model=False)
+
+
 @query("compare_approaches")
 def _(b):
     return evaluation.compare_approaches(evaluation.approach_sets(b.model_hits), b.truth, b.frames.times)
@@ -1200,8 +1201,7 @@ def _(b):
 @query("label_lift")
 def _(b):
     late = F.datediff(F.col("posted_at").cast("date"), F.col("voucher_date")) > 45
-    evt = b.frames.vouchers.where(F.col(LEDGER) == "EVT")
-    return evaluation.label_lift(b.truth, evt, late | F.col("is_post_close"), "post_close_entry")
+    return evaluation.label_lift(b.truth, b.frames.vouchers, late | F.col("is_post_close"), "post_close_entry")
 
 
 @query("truth_lookup")
@@ -1269,10 +1269,7 @@ def _(b):
 
 @query("line_props")
 def _(b):
-    return b.lines.select(
-        LEDGER, "line_id", F.greatest("debit_paise", "credit_paise").alias("amount_paise"),
-        (F.col("debit_paise") - F.col("credit_paise")).alias("signed_paise"), text.present(F.col("document_ref")).alias("has_evidence"),
-    )
+    return vouchers.line_properties(b.lines)
 
 
 @query("uk_date")
@@ -1306,8 +1303,8 @@ def _(b):
 @query("readability")
 def _(b):
     d = b.spark.read.parquet(f"{b.sf}/documents.parquet")
-    words = textaudit.word_count(F.translate("text", "\t\n\r\u000b\u000c", "     "))
-    return d.select("doc_id", labels.readability(words / 10.0).alias("reading"))
+    rate = textaudit.words_per_sentence(F.translate("text", "\t\n\r\u000b\u000c", "     "))
+    return d.select("doc_id", F.round(rate, 6).alias("words_per_sentence"), labels.readability(rate).alias("reading"))
 
 
 # --- extension points ---------------------------------------------------------------------------------------

@@ -138,6 +138,12 @@ def queue(found: DataFrame) -> DataFrame:
     return ranked(kept, [LEDGER], ["_down", "voucher_id"], "rank").drop("_down")
 
 
+def by_total_strength(hits: DataFrame) -> DataFrame:
+    """Flagged vouchers without fusion: by the sum of their strengths, ties by voucher."""
+    total = hits.groupBy(*KEY).agg(F.round(F.sum("strength"), 6).alias("total"))
+    return ranked(total.withColumn("_down", -F.col("total")), [LEDGER], ["_down", "voucher_id"], "rank").drop("_down")
+
+
 def with_signals(found: DataFrame, hits: DataFrame) -> DataFrame:
     """Attach the signals of each finding (at most one per kind), strongest first."""
     pair = found.select(*KEY, F.explode("contributions").alias("x")).select(*KEY, "x.kind", "x.contribution")

@@ -104,6 +104,16 @@ def queue_search(rows: DataFrame, query: str) -> DataFrame:
     return rows.where(test)
 
 
+def page(queue: DataFrame, number: int, size: int = 200) -> DataFrame:
+    """Page ``number`` (from 1) of each ledger's queue, by the rank it was written with: a filter, no sort."""
+    return queue.where(F.col("rank").between((number - 1) * size + 1, number * size))
+
+
+def owner_scope(engagements: DataFrame, owner_id: str | None) -> DataFrame:
+    """The engagements of one owner; all of them where nobody is singled out."""
+    return engagements if owner_id is None else engagements.where(F.col("owner_id") == owner_id)
+
+
 def lines_for(lines: DataFrame, found: DataFrame) -> DataFrame:
     """The ledger lines behind findings, in long form: a voucher of any length stays distributed."""
     return lines.join(found.select(*KEY).distinct(), KEY, "left_semi")
@@ -182,7 +192,7 @@ def engagement_summary(
     engagements: DataFrame, stats: DataFrame, trail: DataFrame, sources: DataFrame, owner_id: str | None = None
 ) -> DataFrame:
     """Dashboard rows: each table is reduced per engagement first, then joined."""
-    e = engagements if owner_id is None else engagements.where(F.col("owner_id") == owner_id)
+    e = owner_scope(engagements, owner_id)
     progress = trail.groupBy("engagement_id").agg(
         F.count_distinct("voucher_id").alias("reviewed"), F.max("decided_at").alias("last_decision")
     )

@@ -439,3 +439,8 @@ def hits_by_voucher(hits: DataFrame) -> DataFrame:
     """Hits collected per voucher (at most one per kind), sorted by kind."""
     one = F.struct("kind", "strength", "reason", "evidence")
     return hits.groupBy(*KEY).agg(F.array_sort(F.collect_list(one)).alias("signals"))
+
+
+def sorted_hits(hits: DataFrame) -> DataFrame:
+    """Hits by voucher and kind: a range shuffle, each task sorts its own range."""
+    return hits.orderBy(*KEY, "kind")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import KEY, LEDGER, Thresholds, threshold_columns
 from ledgerloom.functions import dates
+from ledgerloom.functions.text import present
 from ledgerloom.operators.scale import ranked, salted_join, stage
 
 
@@ -83,6 +84,20 @@ def ledger_times(vouchers: DataFrame) -> DataFrame:
     )
 
 
+def distinct_sides(lines: DataFrame, side: str = "debit_paise") -> DataFrame:
+    """Each account a voucher touches on one side, once, however many lines touch it."""
+    return lines.where(F.col(side) > 0).select(*KEY, "account_code").distinct()
+
+
+def line_properties(lines: DataFrame) -> DataFrame:
+    """What a line says of itself: its amount, signed amount (debits positive) and whether it names a document."""
+    debit, credit = F.col("debit_paise"), F.col("credit_paise")
+    return lines.select(
+        LEDGER, "line_id", F.greatest(debit, credit).alias("amount_paise"), (debit - credit).alias("signed_paise"),
+        present(F.col("document_ref")).alias("has_evidence"),
+    )
+
+
 def account_pairs(vouchers: DataFrame) -> DataFrame:
     """Each distinct (debit, credit) account pair a voucher makes, in that direction."""
     return (

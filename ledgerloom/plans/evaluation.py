@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import config as C
 from ledgerloom.config import KEY, LEDGER
-from ledgerloom.operators.fusion import findings, queue
+from ledgerloom.operators.evidence import evidence_columns
+from ledgerloom.operators.fusion import fuse, strongest
 from ledgerloom.operators.scale import HOT_ROWS, ranked, stage
 from ledgerloom.operators.vouchers import LedgerFrames
 from ledgerloom.plans.review import EVERYTHING, all_hits
@@ -33,6 +36,7 @@ TRAPS = {
     "threshold_adjacent": "legit_below_threshold",
     "missing_evidence": "legit_system_no_document",
 }
+VARIANTS = ["full", "no evidence uplift", "no evidence at all", "no model", "unranked"]
 APPROACHES = ["rules", "statistics", "model", "statistics+model", "all"]
 
 
@@ -87,17 +91,20 @@ def found_marks(ranked_queue: DataFrame, interesting: DataFrame) -> DataFrame:
     return ranked_queue.join(marks, KEY, "left").withColumn("found", F.coalesce("found", F.lit(0)))
 
 
-def cumulative_hits(ranked_queue: DataFrame, interesting: DataFrame) -> DataFrame:
-    """Running true finds down the queue. Ranks are dense, so the queue is cut by rank range."""
+def cumulative_hits(ranked_queue: DataFrame, interesting: DataFrame, by: Sequence[str] = (LEDGER,)) -> DataFrame:
+    """Running true finds down each queue. Ranks are dense, so a queue is cut by rank range.
+
+    ``by`` names the columns that tell queues apart: the ledger, or more.
+    """
     marked = found_marks(ranked_queue, interesting).withColumn("_s", F.floor((F.col("rank") - 1) / HOT_ROWS))
-    before = Window.partitionBy(LEDGER).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = marked.groupBy(LEDGER, "_s").agg(F.sum("found").alias("_f")).withColumn(
+    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = marked.groupBy(*by, "_s").agg(F.sum("found").alias("_f")).withColumn(
         "_off", F.coalesce(F.sum("_f").over(before), F.lit(0))
     ).drop("_f")
-    inside = Window.partitionBy(LEDGER, "_s").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_s").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return (
         marked.withColumn("_run", F.sum("found").over(inside))
-        .join(offsets, [LEDGER, "_s"])
+        .join(offsets, [*by, "_s"])
         .withColumn("found_so_far", F.col("_run") + F.col("_off"))
         .drop("_s", "_run", "_off")
     )
@@ -111,14 +118,14 @@ def precision_at(ranked_queue: DataFrame, interesting: DataFrame, budgets: list[
     return top.where(F.col("rank") <= F.col("k")).groupBy(LEDGER, "k").agg(F.avg("found").alias("precision"))
 
 
-def queue_quality(ranked_queue: DataFrame, interesting: DataFrame) -> DataFrame:
-    """Per ledger: size, precision at each budget, first find, items for 95 %, recall."""
-    run = cumulative_hits(ranked_queue, interesting)
+def queue_quality(ranked_queue: DataFrame, interesting: DataFrame, by: Sequence[str] = (LEDGER,)) -> DataFrame:
+    """Per queue: size, precision at each budget, first find, items for 95 %, recall."""
+    run = cumulative_hits(ranked_queue, interesting, by)
     wanted = interesting.select(*KEY).distinct().groupBy(LEDGER).agg(F.count(F.lit(1)).alias("interesting"))
     joined = run.join(wanted, LEDGER, "left")
     target = F.col("found_so_far") >= 0.95 * F.col("interesting")
     at = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, F.col("found"))), 3).alias(f"p_at_{k}")
-    return joined.groupBy(LEDGER).agg(
+    return joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("queue"),
         *[at(k) for k in C.REVIEW_BUDGETS],
         F.min(F.when(F.col("found") == 1, F.col("rank"))).alias("first_hit"),
@@ -226,24 +233,32 @@ def mean_by(frame: DataFrame, key: str) -> DataFrame:
     return frame.groupBy(key).agg(*[F.round(F.avg(c), 4).alias(c) for c in numeric])
 
 
+def variant_queues(hits: DataFrame, context: DataFrame) -> DataFrame:
+    """The ranked queue of every variant: ``variant``, the voucher, ``priority`` and ``rank``.
+
+    The strongest hits of a voucher are found and met with its evidence once. A variant then only blanks
+    what it leaves out, and one ranking keyed by ledger and variant orders all queues.
+    """
+    strong = strongest(hits).join(context.select(*KEY, F.col("completeness")), KEY)
+    every = strong.withColumn("variant", F.explode(F.array(*map(F.lit, VARIANTS))))
+    variant = F.col("variant")
+    unless = lambda column, *names: F.when(~variant.isin(*names), F.col(column))
+    every = every.withColumns(
+        {"completeness": unless("completeness", "no evidence uplift", "no evidence at all")}
+        | {"w_missing_evidence": unless("w_missing_evidence", "no evidence at all")}
+        | {"w_" + kind: unless("w_" + kind, "no model") for kind in C.MODEL_KINDS}
+    )
+    fused = fuse(every).where(F.col("priority") > 0).withColumn("priority", F.round("priority", 6))
+    down = F.when(variant == "unranked", 0.0).otherwise(-F.col("priority"))
+    kept = stage(fused.select(*KEY, "variant", "priority", down.alias("_down")))
+    return ranked(kept, [LEDGER, "variant"], ["_down", "voucher_id"], "rank").drop("_down")
+
+
 def ablation(frames: LedgerFrames, interesting: DataFrame, *, use_model: bool = True) -> DataFrame:
-    """Queue quality with one part switched off at a time; hits are computed once."""
-    hits = stage(all_hits(frames, use_model=use_model, detail=False))
-    context = frames.context(*EVERYTHING)
-    no_document_rule = hits.where(F.col("kind") != "missing_evidence")
-    no_model = hits.where(~F.col("kind").isin(*C.MODEL_KINDS))
-    variants = [
-        ("full", queue(findings(hits, context))),
-        ("no evidence uplift", queue(findings(hits, context, use_evidence=False))),
-        ("no evidence at all", queue(findings(no_document_rule, context, use_evidence=False))),
-        ("no model", queue(findings(no_model, context))),
-        ("unranked", unranked(findings(hits, context))),
-    ]
-    out = None
-    for name, ranked_queue in variants:
-        one = queue_quality(ranked_queue.select(*KEY, "rank"), interesting).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Queue quality with one part switched off at a time, all variants in one pass."""
+    hits = all_hits(frames, use_model=use_model, detail=False)
+    context = frames.context(*EVERYTHING).select(*KEY, *evidence_columns())
+    return queue_quality(variant_queues(hits, context), interesting, [LEDGER, "variant"])
 
 
 def unranked(found: DataFrame) -> DataFrame:

@@ -209,3 +209,31 @@ def event_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(
         F.lit("EVT").alias("ledger_id"), "voucher_id", anomalies.alias("anomalies"), decoys.alias("decoys")
     )
+
+
+def order_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the order ledger: only its orders that have lines are vouchers."""
+    k = F.col("o_orderkey")
+    bare = (F.col("o_orderstatus") == "P") & (k % 5 == 0)
+    manual = F.col("o_orderpriority").isin("3-MEDIUM", "4-NOT SPECIFIED")
+    approved = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    sunday = F.dayofweek("o_orderdate") == 1
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    anomalies = F.array_compact(
+        F.array(
+            F.when(k % 499 == 0, "post_close_entry"),
+            F.when(bare & manual, "missing_document_ref"),
+            F.when(sunday & manual, "weekend_posting"),
+        )
+    )
+    decoys = F.array_compact(
+        F.array(F.when(bare & ~manual, "legit_system_no_document"), F.when(sunday & approved, "legit_saturday_posting"))
+    )
+    return table(spark, sf_dir, "orders").join(items, "o_orderkey", "left_semi").select(
+        F.lit("ORD").alias("ledger_id"), F.concat(F.lit("V"), pad(k, 9)).alias("voucher_id"),
+        anomalies.alias("anomalies"), decoys.alias("decoys"),
+    )
+
+
+def both_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_truth(spark, sf_dir).unionByName(order_truth(spark, sf_dir))

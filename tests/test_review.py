@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import math
 
@@ -5,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.config import Thresholds, threshold_frame, threshold_problems
-from ledgerloom.operators import digest, fusion, review, scale, similar
+from ledgerloom.operators import digest, fusion, review, scale, similar, vouchers
+from ledgerloom.operators.evidence import evidence_columns
 from ledgerloom.operators.vouchers import LedgerFrames
 from ledgerloom.plans import evaluation, fixtures
 from ledgerloom.plans.review import EVERYTHING, all_hits, build_findings
@@ -159,3 +161,52 @@ def test_findings_keep_their_evidence(spark, both):
         downs = [s.contribution for s in r.signals]
         assert downs == sorted(downs, reverse=True) and [s.kind for s in r.signals] and set(r.kinds) == {s.kind for s in r.signals}
     assert list(itertools.chain(*[r.missing for r in seen]))
+
+
+def test_every_variant_is_the_queue_made_alone(spark, both):
+    hits = scale.stage(all_hits(both, use_model=False, detail=False))
+    context = both.context(*EVERYTHING)
+    got = {}
+    for r in evaluation.variant_queues(hits, context.select("ledger_id", "voucher_id", *evidence_columns())).collect():
+        got.setdefault(r.variant, set()).add((r.ledger_id, r.voucher_id, r["rank"]))
+    rules = hits.where("kind <> 'missing_evidence'")
+    alone = {
+        "full": fusion.queue(fusion.findings(hits, context)),
+        "no evidence uplift": fusion.queue(fusion.findings(hits, context, use_evidence=False)),
+        "no evidence at all": fusion.queue(fusion.findings(rules, context, use_evidence=False)),
+        "no model": fusion.queue(fusion.findings(hits, context)),
+        "unranked": evaluation.unranked(fusion.findings(hits, context)),
+    }
+    assert set(got) == set(alone)
+    for variant, one in alone.items():
+        assert got[variant] == {(r.ledger_id, r.voucher_id, r["rank"]) for r in one.collect()}, variant
+
+
+def test_pages_owners_totals_and_sides(spark, book):
+    queue = spark.createDataFrame([("L", f"V{n}", n) for n in range(1, 8)], "ledger_id string, voucher_id string, rank int")
+    assert [r["rank"] for r in review.page(queue, 2, 3).orderBy("rank").collect()] == [4, 5, 6]
+    assert review.page(queue, 4, 3).count() == 0
+    owners = spark.createDataFrame([("E1", "U1"), ("E2", "U2"), ("E3", None)], "id string, owner_id string")
+    assert [r.id for r in review.owner_scope(owners, "U2").collect()] == ["E2"] and review.owner_scope(owners, None).count() == 3
+    hits = spark.createDataFrame(
+        [("L", "B", "x", 0.5), ("L", "A", "x", 0.25), ("L", "A", "y", 0.25), ("M", "C", "x", 0.1)],
+        "ledger_id string, voucher_id string, kind string, strength double",
+    )
+    assert {(r.voucher_id, r["rank"]) for r in fusion.by_total_strength(hits).collect()} == {("A", 1), ("B", 2), ("C", 1)}
+    lines = book.add("L", "V1").add("L", "V1", credit="3000", document_ref=" ").frame(spark)
+    assert vouchers.distinct_sides(lines).count() == 1 and vouchers.distinct_sides(lines, "credit_paise").count() == 2
+    said = {(r.line_id, r.signed_paise > 0, r.has_evidence) for r in vouchers.line_properties(lines).collect()}
+    assert said == {("V1-01", True, True), ("V1-02", False, True), ("V1-01", True, False), ("V1-02", False, False)}
+
+
+def test_similar_entries_on_amounts_of_many_days(spark, book):
+    """An amount that recurs daily: the nearest days on both sides, ties to the smaller id."""
+    for n in range(120):
+        book.add("L", f"V{n:03d}", amount=700 if n % 2 else 701, date=str(dt.date(2024, 4, 1) + dt.timedelta(days=3 * n)))
+    every = LedgerFrames(book.frame(spark)).vouchers
+    got = {}
+    for r in similar.similar_entries(every, every, k=4).collect():
+        got.setdefault(r.voucher_id, []).append((r.similar_rank, r.similar_id))
+    for n in range(120):
+        same = sorted((abs(m - n), m) for m in range(n % 2, 120, 2) if m != n)[:4]
+        assert [i for _, i in sorted(got[f"V{n:03d}"])] == [f"V{m:03d}" for _, m in same]
