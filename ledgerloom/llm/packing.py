@@ -1,7 +1,9 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 Documents are dealt to groups by hash, so a group has a bounded expected number of them and any group
-packs alone. In a group every document gives its full sequences and one remainder; remainders go,
+packs alone. The hash takes in which of its copies a row is, so copies of one row spread over all groups
+like other rows: a task numbers the copies it reads and adds its own number. The rows of a lost task fall
+to the same groups when it runs again, in whatever order it then reads them. In a group every document gives its full sequences and one remainder; remainders go,
 longest first, to the leftmost bin with room, found by walking a tree whose nodes hold the largest
 free room below them. What first-fit leaves open is then filled by cutting up the emptiest bins, and
 the one bin left over is cut into lengths that are powers of two.
@@ -16,11 +18,15 @@ gives no pieces; further columns do not matter.
 from __future__ import annotations
 
 import base64
+import hashlib
+import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +55,9 @@ class Encoder:
     def plain(self, text: str) -> list[int]:
         try:
             return self.fast.encode_ordinary(text)
-        except BaseException:  # the rank form's pattern engine gives up on some very long runs
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException:  # the rank form's pattern engine gives up on some very long runs, outside Exception
             from tokenizers import Tokenizer
 
             self.slow = self.slow or Tokenizer.from_file(self.file)
@@ -98,6 +106,12 @@ def first_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
+def group_of(row: int, task: int, copy: int, groups: int) -> int:
+    """The group of the ``copy``-th row with hash ``row`` that a task has read."""
+    mixed = hashlib.blake2b(struct.pack("<qqq", row, task, copy), digest_size=8).digest()
+    return int.from_bytes(mixed, "little") % groups
+
+
 def pack_group(lengths: list[int], room: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece; sequences are numbered from 0."""
     sequence = 0
@@ -156,10 +170,14 @@ def pack(docs: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS, ra
     groups = max(1, -(-docs.count() // group_docs))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = encoder(ranks, file)
+        make, task, copies = encoder(ranks, file), TaskContext.get().partitionId(), Counter()
         for batch in batches:
+            dealt = []
+            for row in batch.column(0).to_pylist():
+                dealt.append(group_of(row, task, copies[row], groups))
+                copies[row] += 1
             found = [np.append(make.ids(t.as_py() or ""), np.uint32(0)).astype("<u4").tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["grp", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int64()), batch.column(1), pa.array(found, pa.binary())], ["grp", "doc_id", "ids"])
 
     def packed(group: pa.Table) -> pa.Table:
         ids, names = group.column("ids").to_pylist(), group.column("doc_id").to_pylist()
@@ -171,6 +189,5 @@ def pack(docs: DataFrame, length: int = LENGTH, group_docs: int = GROUP_DOCS, ra
         kinds = [pa.int64()] * 7 + [pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in PIECES.split(", ")])
 
-    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
-    encoded = docs.select(group.alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "grp bigint, doc_id bigint, ids binary")
+    encoded = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "grp bigint, doc_id bigint, ids binary")
     return encoded.groupBy("grp").applyInArrow(packed, PIECES)

@@ -138,3 +138,12 @@ def test_mixing_odd_rows(odd, nothing):
     assert {(r.taken, r.target) for r in mixing.mix(blank).select("taken", "target").collect()} == {(0, 0.0)}
     whole = mixing.mixed(odd)
     assert whole.columns == odd.columns and whole.count() > 0
+
+
+def test_copies_of_one_row_spread_over_the_groups(spark):
+    """Half of the table is one row; no group holds much more than its share, and order in a task is free."""
+    rows = [(7, "the same words")] * 4000 + [(100 + i, f"own words {i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    places = Counter(r.sequence_id >> 32 for r in packing.pack(df, group_docs=500).where("start = 0").select("sequence_id").collect())
+    assert len(places) == 16 and sum(places.values()) == 8000 and max(places.values()) < 700
+    assert {packing.group_of(5, 2, n, 9) for n in range(200)} == set(range(9))
