@@ -99,7 +99,7 @@ def conform(
     own = ["ledger_id"] if "ledger_id" in raw.columns else []
     src = rows.select(ROW, *own, *[named(h).cast("string").alias(f) for h, f in found.resolved.items()])
     # Text is parsed in one pass and kept; numbering, fidelity and counts read the typed table.
-    dated = stage(typed_columns(src, report, own))
+    dated = stage(typed_columns(src, report, own), wide=True)
     kept = with_ledger(dated.where(usable()), ledger_id).drop("unread_date")
     kept = with_file_fidelity(kept, "posted_at" in src.columns)
     lines = number_lines(kept).select(*LINE_COLUMNS)

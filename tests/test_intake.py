@@ -185,3 +185,23 @@ def test_day_book_round_trip(spark, book):
     back = conform.conform(export.daybook(lines, ["source_row"]), ledger_id="L")[0]
     cols = ["line_id", "voucher_date", "debit_paise", "credit_paise", "account_name", "narration", "document_ref", "approved_by", "created_by", "posted_at"]
     assert sorted(back.select(cols).collect()) == sorted(lines.select(cols).collect())
+
+
+def test_a_date_is_rewritten_and_cast_once(spark):
+    texts = ["05-01-2024 12:15 am", "5 jan 2024 12:15 PM", "05/01/24, 1:02:03 pm", "05-01-2024 13:05 pm", "05-01-2024 13:05 am",
+             "05-01-2024 24:00 pm", "2024-01-05 10:00 pm", "2024/1/5 10:00", "45000.5", "19999", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("d", dates.parse_ledger_date(F.col("t")))
+    got = [r.d and r.d.isoformat() for r in rows.orderBy("i").collect()]
+    assert got == ["2024-01-05T00:15:00", "2024-01-05T12:15:00", "2024-01-05T13:02:03", "2024-01-05T13:05:00", "2024-01-05T01:05:00",
+                   None, None, "2024-01-05T10:00:00", "2023-03-15T12:00:00", None, None]
+    # The month names stand in the plan as often as the text is rewritten.
+    assert rows._jdf.queryExecution().analyzed().toString().lower().count("feb") == 1
+
+
+def test_a_wide_stage_leaves_the_session_as_it_was(spark):
+    from ledgerloom.operators.scale import stage
+
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    assert sorted(r[0] for r in stage(spark.range(3).toDF("a"), wide=True).collect()) == [0, 1, 2]
+    assert spark.conf.get(limit) == before
