@@ -62,7 +62,7 @@ def file_blocks(lines: DataFrame) -> DataFrame:
     counted = lines.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.bool_or("wide").alias("wide"),
         F.bool_and(F.is_valid_utf8(text)).alias("valid"),
-        F.bool_or(F.locate("\u0000", F.decode("bytes", "ISO-8859-1")) > 0).alias("nulls"),
+        F.bool_or(F.contains("bytes", F.lit(b"\0"))).alias("nulls"),
         F.bool_or(F.contains(text, F.lit('"')) & ends_inside(text, False)).alias("spans"),
     )
     whole = Window.partitionBy("file")

@@ -34,12 +34,16 @@ def recorded(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...]
     return spark.read.schema(schema).parquet(path)
 
 
-def laid_end_to_end(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of a ledger's files numbered on from file to file (by path), and the rows of each file."""
-    sizes = stage(records.groupBy(LEDGER, "file").agg(F.max("source_row").alias("rows_read")))
+def laid_end_to_end(records: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a ledger's files numbered on from file to file (by path), and the rows of each file.
+
+    Ledgers are named once per file, not per row, and the list of files goes to the rows, not the rows to their file.
+    """
+    counted = records.groupBy("file").agg(F.max("source_row").alias("rows_read"))
+    sizes = stage(counted.select(ledger_name(F.col("file"), by).alias(LEDGER), "file", "rows_read"))
     before = Window.partitionBy(LEDGER).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", F.coalesce(F.sum("rows_read").over(before), F.lit(0)).alias("offset"))
-    return records.join(offsets, "file"), sizes
+    offsets = sizes.select(LEDGER, "file", F.coalesce(F.sum("rows_read").over(before), F.lit(0)).alias("offset"))
+    return records.join(F.broadcast(offsets), "file"), sizes
 
 
 def conform_files(spark: SparkSession, paths: list[str], by: str) -> tuple[DataFrame | None, DataFrame, DataFrame]:
@@ -48,15 +52,14 @@ def conform_files(spark: SparkSession, paths: list[str], by: str) -> tuple[DataF
     Files with equal headers are read together; only first lines come to the driver.
     """
     records, refused = csv_records(spark, paths)
-    records = records.withColumn(LEDGER, ledger_name(F.col("file"), by))
-    placed, sizes = laid_end_to_end(records)
-    heads = records.where(F.col("source_row") == 1).select("value").distinct().collect()
-    first = records.where(F.col("source_row") == 1).select("file", F.col("value").alias("header"))
+    placed, sizes = laid_end_to_end(records, by)
+    first = stage(records.where(F.col("source_row") == 1).select("file", F.col("value").alias("header")))
+    heads = first.select("header").distinct().collect()
     landed = None
     for (header,) in heads:
         own = first.where(F.col("header") == header).select("file")
         try:
-            rows = parse_rows(placed.join(own, "file", "left_semi"), split_header(header), [F.col(LEDGER), F.col("offset")])
+            rows = parse_rows(placed.join(F.broadcast(own), "file", "left_semi"), split_header(header), [F.col(LEDGER), F.col("offset")])
             lines = conform(rows.withColumn("source_row", F.col("source_row") + F.col("offset")).drop("offset"))[0]
         except LedgerError as problem:
             refused = refused.unionByName(own.withColumn("reason", F.lit(str(problem))))

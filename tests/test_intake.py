@@ -198,6 +198,24 @@ def test_a_date_is_rewritten_and_cast_once(spark):
     assert rows._jdf.queryExecution().analyzed().toString().lower().count("feb") == 1
 
 
+def test_files_are_laid_end_to_end_without_moving_their_rows(spark):
+    from ledgerloom.streaming.ingest import laid_end_to_end
+
+    rows = [(f"file:/drop/folder={b}/part-{p}.csv", n, f"{b}{p}{n}") for b in "XY" for p in range(2) for n in range(1, 4 + p)]
+    records = spark.createDataFrame(rows, "file string, source_row bigint, value string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed, sizes = laid_end_to_end(records, "folder")
+        plan = placed._jdf.queryExecution().sparkPlan().toString()
+        got = {(r.ledger_id, r.value): r.offset for r in placed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "SortMergeJoin" not in plan and "regexp_extract" not in plan
+    assert got == {(f"folder={b}", f"{b}{p}{n}"): 3 * p for b in "XY" for p in range(2) for n in range(1, 4 + p)}
+    assert sorted(r.rows_read for r in sizes.collect()) == [3, 3, 4, 4]
+
+
 def test_a_wide_stage_leaves_the_session_as_it_was(spark):
     from ledgerloom.operators.scale import stage
 
