@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import forest, scale
+from ledgerloom.operators import forest, scale, vouchers
 from ledgerloom.plans import fixtures, textaudit
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,3 +51,11 @@ def test_features_and_scores_are_made_once_for_a_book(spark, monkeypatch):
     forest.ml_scores(book.frames).count()
     forest.ml_anomaly_hits(book.frames).count()
     assert len(calls) == 1
+
+
+def test_lines_are_dealt_by_voucher_before_they_are_grouped(spark, book):
+    lines = book.add("L", "V1").add("L", "V2").frame(spark)
+    plan = vouchers.voucher_view(lines)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("partial_sum") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "REPARTITION_BY_COL")
+    done = vouchers.voucher_view(lines)._jdf.queryExecution().executedPlan().toString()
+    assert done.count("Exchange hashpartitioning") == 1
