@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import forest, scale, vouchers
+from ledgerloom.functions import money
+from ledgerloom.operators import forest, review, scale, vouchers
 from ledgerloom.plans import fixtures, textaudit
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,3 +60,15 @@ def test_lines_are_dealt_by_voucher_before_they_are_grouped(spark, book):
     assert plan.index("partial_sum") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "REPARTITION_BY_COL")
     done = vouchers.voucher_view(lines)._jdf.queryExecution().executedPlan().toString()
     assert done.count("Exchange hashpartitioning") == 1
+
+
+def test_a_search_takes_digits_from_the_amount_itself(spark):
+    amounts = [None, 0, 5, -7, 99, 100, -100, 12345, 100000, 123456789012345]
+    df = spark.createDataFrame([(a,) for a in amounts], "amount_paise bigint")
+    shown = F.regexp_replace(money.format_inr(F.col("amount_paise")), "[^0-9]", "")
+    got = df.select(shown.alias("a"), money.amount_digits(F.col("amount_paise")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and len({r.b for r in got}) > 6
+    rows = df.select("amount_paise", *[F.lit("x").alias(c) for c in ("voucher_id", "narration", "created_by")], F.array(F.lit("y")).alias("account_names"))
+    found = review.queue_search(rows, "x 345")
+    assert "regexp" not in found._jdf.queryExecution().analyzed().toString()
+    assert [r.amount_paise for r in found.orderBy("amount_paise").collect()] == [12345, 123456789012345]
