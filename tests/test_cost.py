@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
-from ledgerloom.operators import forest, review, scale, vouchers
+from ledgerloom.operators import forest, fusion, review, scale, vouchers
 from ledgerloom.plans import fixtures, textaudit
 
 SMALL = "/root/testdata/sf0.001"
@@ -72,3 +72,16 @@ def test_a_search_takes_digits_from_the_amount_itself(spark):
     found = review.queue_search(rows, "x 345")
     assert "regexp" not in found._jdf.queryExecution().analyzed().toString()
     assert [r.amount_paise for r in found.orderBy("amount_paise").collect()] == [12345, 123456789012345]
+
+
+def test_wide_tables_are_written_with_methods_the_jvm_compiles(spark, monkeypatch):
+    from checks import queries
+
+    wide = []
+    note = lambda df, wide_=wide, **more: wide_.append((len(df.columns), more.get("wide", False))) or scale.stage(df, **more)
+    monkeypatch.setattr(queries, "stage", note)
+    monkeypatch.setattr(fusion, "stage", note)
+    book = queries.Book(spark, SMALL)
+    fusion.queue(book.found)
+    assert [w for n, w in wide if n > 10] == [True, True, True]
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") != scale.COMPILED_METHOD
