@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.operators import forest, fusion, review, scale, vouchers
-from ledgerloom.plans import fixtures, textaudit
+from ledgerloom.plans import evaluation, fixtures, textaudit
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -85,3 +85,20 @@ def test_wide_tables_are_written_with_methods_the_jvm_compiles(spark, monkeypatc
     fusion.queue(book.found)
     assert [w for n, w in wide if n > 10] == [True, True, True]
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") != scale.COMPILED_METHOD
+
+
+def test_variants_carry_what_is_interesting(spark):
+    hits = spark.createDataFrame(
+        [("L", f"V{n}", k, 0.5) for n in range(6) for k in ("weekend_posting", "missing_evidence")],
+        "ledger_id string, voucher_id string, kind string, strength double",
+    )
+    context = hits.select("ledger_id", "voucher_id", F.lit(0.5).alias("completeness")).distinct()
+    good = spark.createDataFrame([("L", "V1"), ("L", "V1"), ("L", "V4"), ("L", "V9"), (None, "V2")], "ledger_id string, voucher_id string")
+    by = ["ledger_id", "variant"]
+    carried = evaluation.variant_queues(hits, context, good)
+    assert {(r.voucher_id, r.found) for r in carried.collect()} == {(f"V{n}", int(n in (1, 4))) for n in range(6)}
+    looked_up = evaluation.queue_quality(evaluation.variant_queues(hits, context), good, by)
+    read = lambda df: sorted(tuple(r) for r in df.collect())
+    assert read(evaluation.queue_quality(carried, good, by)) == read(looked_up)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+    assert joins(evaluation.found_marks(carried, good)) == 0
