@@ -243,3 +243,26 @@ def test_cells_of_a_large_group_are_dealt_to_several_tasks(spark, book):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kinds)
     assert held > 1
+
+
+def test_similar_entries_leave_no_finding_out(spark, book, monkeypatch):
+    """Findings of every band are looked up, and those that debit no account, among their like."""
+    from checks import queries
+
+    for n in range(4):
+        book.add("L", f"N{n}", amount=1_000 + n)
+        book.add("L", f"Z{n}", amount=0)
+    frames = LedgerFrames(book.frame(spark))
+    found = frames.vouchers.select("ledger_id", "voucher_id").withColumn(
+        "band", F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "low"])), F.substring("voucher_id", 2, 1).cast("int") + 1)
+    )
+    own = queries.Book(spark, "own")
+    own.__dict__.update(frames=frames, found=found)
+    monkeypatch.setattr(queries.Book, "_open", {(spark.sparkContext.applicationId, "own"): own})
+    got = {}
+    for r in queries.QUERIES["similar_entries"](spark, "own").orderBy("voucher_id", "similar_rank").collect():
+        got.setdefault(r.voucher_id, []).append(r.similar_id)
+    assert got == {
+        "N0": ["N1", "N2", "N3"], "N1": ["N2", "N0", "N3"], "N2": ["N3", "N1", "N0"], "N3": ["N2", "N1", "N0"],
+        **{f"Z{n}": [f"Z{m}" for m in range(4) if m != n] for n in range(4)},
+    }
