@@ -43,3 +43,34 @@ def test_too_few_draws_are_an_error(spark):
     rows = forest.draws(features_of(spark, "A", 300)).toPandas()
     with pytest.raises(ValueError, match="drew"):
         forest.fit_ledger(rows.iloc[1:])
+
+
+def test_draws_are_rows_of_generated_code(spark):
+    """No array of all draws is built and filtered by an interpreted function."""
+    plan = forest.draws(features_of(spark, "A", 300))._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in plan and "lambdafunction" not in plan
+
+
+def test_rows_walk_as_they_would_alone(spark, monkeypatch):
+    """Few rows at a time or many, and a plain walk node by node, give the same depths."""
+    table = features_of(spark, "A", 300)
+    packed = forest.fit_ledger(forest.draws(table).toPandas()).iloc[0]
+    values = table.select(*FEATURES).toPandas().to_numpy(dtype="float64")
+    values[3, 2], values[4, 1] = np.nan, np.inf
+    shape = (forest.TREES, packed["width"])
+    feature, cut = np.frombuffer(packed["feature"], dtype="int8").reshape(shape), np.frombuffer(packed["cut"]).reshape(shape)
+    depth = np.frombuffer(packed["depth"], dtype="float32").reshape(shape)
+
+    def alone(row):
+        total = 0.0
+        for tree in range(forest.TREES):
+            node = 1
+            while feature[tree, node] >= 0:
+                node = 2 * node + int(row[feature[tree, node]] > cut[tree, node])
+            total += float(depth[tree, node])
+        return total
+
+    want = [alone(row) for row in values[:20]]
+    assert forest.depths(values, packed)[:20].tolist() == want
+    monkeypatch.setattr(forest, "WALKERS", 7)
+    assert forest.depths(values, packed)[:20].tolist() == want and len(forest.depths(values[:0], packed)) == 0
