@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import csv
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from ledgerloom.operators.scale import stage
 from ledgerloom.sources.mapping import LedgerError
 
 FIRST_DATA_ROW = 2
+#: Bytes of a file that are hashed in one go, and names that readers of text unpack.
+PIECE = 1 << 14
+PACKED = r"(?i)\.(gz|bz2|deflate|snappy|lz4|zst|zstd)$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 BINARY = "It does not look like a CSV file: it contains binary data."
 UNCLOSED = "A quoted field is never closed."
 
@@ -89,9 +96,74 @@ def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, block, bytes) of one task, joined again to pieces of about ``PIECE`` bytes and numbered as they come."""
+    seq, held, size, spot = 0, [], 0, None
+
+    def piece() -> pa.RecordBatch:
+        cells = [[spot[0]], [spot[1]], [seq], [b"\n".join(held)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.string(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["file", "block", "seq", "bytes"])
+
+    for batch in batches:
+        for file, block, line in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            if held and (size >= PIECE or (file, block) != spot):
+                yield piece()
+                seq, held, size = seq + 1, [], 0
+            spot = (file, block)
+            held.append(line)
+            size += len(line) + 1
+    if held:
+        yield piece()
+
+
+def hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file from its pieces in order. Its size tells what the reader left out: a mark at the start, a break at the end."""
+    file, size, seen, plain, marked = None, 0, 0, None, None
+
+    def digest() -> pa.RecordBatch:
+        missing = size - seen
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{file} has {size} bytes, {seen} were read")
+        whole = marked if missing >= 3 else plain
+        whole.update(b"\n" * (missing % 3))
+        return pa.RecordBatch.from_pydict({"file": [file], "sha256": [whole.hexdigest()]})
+
+    for batch in batches:
+        for name, length, part in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            if name != file:
+                if file is not None:
+                    yield digest()
+                file, size, seen, plain, marked = name, length, 0, hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK)
+            else:
+                part = b"\n" + part
+            seen += len(part)
+            plain.update(part)
+            marked.update(part)
+    if file is not None:
+        yield digest()
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Size and SHA-256 of every file, none of which is ever held whole.
+
+    Files are read as lines, split as any table, and joined to pieces; one task hashes the pieces of a file in order, because
+    a hash runs from front to end. Readers of text would unpack files with a name such as ``.gz``: those are hashed whole.
+    """
+    name, packed = F.col("_metadata.file_path"), F.col("file").rlike(PACKED)
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), "content", name.alias("file"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("bytes"),
+    ).where(~packed)
+    known = files.where(~packed).drop("content")
+    dealt = lines.mapInArrow(pieces, "file string, block bigint, seq bigint, bytes binary").join(
+        F.broadcast(known.select("file", "size_bytes")), "file"
+    ).repartition("file").sortWithinPartitions("file", "block", "seq")
+    hashes = dealt.select("file", "size_bytes", "bytes").mapInArrow(hash_pieces, "file string, sha256 string")
+    # A file of which the reader returns nothing holds a mark and nothing else.
+    mark = F.when(F.col("size_bytes") == len(BYTE_ORDER_MARK), F.sha2(F.lit(BYTE_ORDER_MARK), 256))
+    return known.join(hashes, "file", "left").select("path", "size_bytes", F.coalesce("sha256", mark).alias("sha256")).unionByName(
+        files.where(packed).select("path", "size_bytes", F.sha2("content", 256).alias("sha256"))
+    )
 
 
 def folded(lines: DataFrame) -> DataFrame:

@@ -223,3 +223,29 @@ def test_a_wide_stage_leaves_the_session_as_it_was(spark):
     before = spark.conf.get(limit)
     assert sorted(r[0] for r in stage(spark.range(3).toDF("a"), wide=True).collect()) == [0, 1, 2]
     assert spark.conf.get(limit) == before
+
+
+def test_fingerprints_of_any_bytes_without_holding_a_file(spark, tmp_path):
+    """Marks, breaks of every kind, none at all, and files read in many splits hash as their bytes do."""
+    import gzip
+    import hashlib
+    import random
+
+    mark = b"\xef\xbb\xbf"
+    noise = random.Random(7).randbytes(300_000)
+    contents = {
+        "plain.bin": noise, "ended.bin": noise + b"\n", "marked.bin": mark + noise, "both.bin": mark + noise + b"\n\n", "mark only.bin": mark,
+        "mark break.bin": mark + b"\n", "break.bin": b"\n", "breaks.bin": b"\r\n\r\n\n\r", "zeros.bin": b"\0" * 70_000, "x.gz": gzip.compress(noise),
+    }
+    for name, body in contents.items():
+        (tmp_path / name).write_bytes(body)
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = files.fingerprints(spark, f"{tmp_path}/*")
+        got = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.sha256) for r in found.collect()}
+        plan = found.where("path not like '%.gz'")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in contents.items()}
+    assert "MapInArrow" in plan
